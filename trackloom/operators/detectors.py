@@ -6,12 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import clamp, finite, saturate01
-from trackloom.operators.motion import (
-    TRACK,
-    kinematic_features,
-    simple_components,
-    track_steps,
-)
+from trackloom.operators.knn import knn_join, local_outlier_factors, mean_neighbour_distance, vectorize
+from trackloom.operators.motion import TRACK, simple_components, track_steps
 from trackloom.operators.ranks import column_profile, robust_by_group, robust_columns
 from trackloom.operators.scale import percentiles
 from trackloom.operators.segments import WEIGHTS, frame_evidence
@@ -32,9 +28,11 @@ FUSION_ALPHA = 0.65
 
 def simple_track_scores(points: DataFrame, with_events: bool = True) -> DataFrame:
     """Robustly scaled components, weighted; event score is the strongest frame."""
-    steps = track_steps(points)
+    steps = materialize(
+        track_steps(points).select(*TRACK, "frame_id", "confidence", "modal_offset", "step", "heading_turn")
+    )
     names = list(WEIGHTS)
-    scaled = robust_columns(simple_components(points, steps), TRACK, names)
+    scaled = robust_columns(simple_components(steps, steps), TRACK, names)
     total = sum((F.col(f"n_{n}") * w for n, w in WEIGHTS.items()), F.lit(0.0))
     scores = scaled.withColumn("score", total)
     if not with_events:
@@ -206,3 +204,50 @@ def behaviour_components(train_features: DataFrame, score_features: DataFrame) -
         distance(BEHAVIOUR_COLUMNS["modal"]).alias("modal_offset_score"),
     )
     return table.withColumn("route_shape_score", F.greatest("route_score", "shape_score"))
+
+
+def nearest_profile_scores(
+    train_features: DataFrame, score_features: DataFrame, columns: list[str], id_col: str = "sample_id", k: int = 1
+) -> DataFrame:
+    """Mean distance to the k nearest training rows in standardised feature space."""
+    profile = column_profile(train_features, columns)
+    train = materialize(vectorize(train_features, id_col, columns, profile))
+    score = materialize(vectorize(score_features, id_col, columns, profile))
+    k = max(1, min(k, train.count()))
+    return mean_neighbour_distance(knn_join(score, train, k)).withColumnRenamed("query_id", id_col)
+
+
+def lof_scores(
+    train_features: DataFrame, score_features: DataFrame, columns: list[str], id_col: str = "sample_id", k: int = 20
+) -> DataFrame:
+    """Local outlier factor in standardised feature space."""
+    profile = column_profile(train_features, columns)
+    train = materialize(vectorize(train_features, id_col, columns, profile))
+    score = materialize(vectorize(score_features, id_col, columns, profile))
+    return local_outlier_factors(train, score, k).withColumnRenamed("query_id", id_col)
+
+
+def spread_to_objects(window_scores: DataFrame, objects: DataFrame) -> DataFrame:
+    """A window's score copied to each of its objects."""
+    return objects.select(*OBJECT).distinct().join(window_scores, "window_id")
+
+
+def hybrid_rank_fusion(
+    ranks: DataFrame,
+    weights: tuple[float, float, float] = (0.6, 0.2, 0.2),
+    gate: bool = False,
+    gate_power: float = 1.0,
+    gate_floor: float = 0.0,
+) -> DataFrame:
+    """Weighted prediction, graph and temporal ranks (columns r_prediction, r_graph, r_temporal).
+
+    With the gate the last two count in proportion to floor + (1 - floor) * r^power of
+    the prediction rank.
+    """
+    total = sum(weights)
+    wp, wg, wt = (w / total for w in weights)
+    floor = min(1.0, max(0.0, gate_floor))
+    r = clamp(finite(F.col("r_prediction")))
+    side = clamp(F.lit(floor) + (1.0 - floor) * F.pow(r, F.lit(max(0.0, gate_power))), floor, 1.0) if gate else F.lit(1.0)
+    score = wp * r + side * (wg * clamp(finite(F.col("r_graph"))) + wt * clamp(finite(F.col("r_temporal"))))
+    return ranks.withColumn("score", clamp(score))

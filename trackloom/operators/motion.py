@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import distance, heading_change, step_angle
-from trackloom.operators.scale import percentiles, with_previous
+from trackloom.operators.scale import one_chunk, percentiles, with_previous
 
 TRACK = ["sample_id", "sequence", "track_id"]
 STOP_SPEED = 1e-6
@@ -107,7 +107,8 @@ def modality_velocity(observations: DataFrame, fps: float | None = None) -> Data
         .select(*TRACK, "frame_id", "m.*")
         .where(F.col("cx").isNotNull() & F.col("cy").isNotNull())
     )
-    lagged = with_previous(long, [*TRACK, "modality"], "frame_id", ["cx", "cy"], depth=1)
+    single = one_chunk(observations, "frame_id")
+    lagged = with_previous(long, [*TRACK, "modality"], "frame_id", ["cx", "cy"], depth=1, single=single)
     gap = F.greatest(F.col("frame_id") - F.col("prev1_frame_id"), F.lit(1))
     vx = (F.col("cx") - F.col("prev1_cx")) / gap
     vy = (F.col("cy") - F.col("prev1_cy")) / gap
@@ -195,7 +196,7 @@ def kinematic_features(points: DataFrame) -> DataFrame:
 
 def simple_components(points: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Speed spike, turn irregularity, low-confidence share and median sensor offset."""
-    rows = steps if steps is not None else track_steps(points)
+    rows = steps if steps is not None else (points if "step" in points.columns else track_steps(points))
     stats = percentiles(
         rows,
         TRACK,

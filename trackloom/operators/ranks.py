@@ -30,42 +30,43 @@ def widen(long: DataFrame, ids: Sequence[str], columns: Sequence[str], value: st
     )
 
 
-def column_profile(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float]]:
+def column_profile(df: DataFrame, columns: Sequence[str], cold_rows: int = COLD_ROWS) -> dict[str, dict[str, float]]:
     """Median, MAD, mean, population deviation and extremes of each column.
 
-    Returns a fixed number of scalars per column to the driver, never rows; the
-    medians are bucketed order statistics.  ``df`` should be materialised.
+    Returns a fixed number of scalars per column to the driver, never rows.
+    ``df`` should be materialised: a table of at most ``cold_rows`` rows uses the
+    built-in percentile, a larger one bucketed order statistics.
     """
     columns = list(columns)
-    long = melt(df, [], columns)
-    rows = (
-        percentiles(long, ["component"], {"median": ("value", 0.5)}, cold_rows=None)
-        .join(
-            long.groupBy("component").agg(
-                F.avg("value").alias("mean"),
-                F.stddev_pop("value").alias("std"),
-                F.min("value").alias("low"),
-                F.max("value").alias("high"),
-                F.count("value").alias("n"),
-            ),
-            "component",
-        )
-        .collect()
-    )
-    profile = {r["component"]: r.asDict() for r in rows}
-    center = F.create_map(
-        *[x for c in columns if c in profile for x in (F.lit(c), F.lit(profile[c]["median"]))]
-    )
-    deviations = long.select(
-        "component",
-        F.abs(F.col("value") - center[F.col("component")]).alias("dev"),
-        F.abs("value").alias("size"),
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    small = df.count() <= cold_rows
+    spec = {"mean": F.avg, "std": F.stddev_pop, "low": F.min, "high": F.max, "n": F.count}
+    row = df.agg(
+        *[f(c).alias(f"{c}|{name}") for c in columns for name, f in spec.items()],
+        *([F.median(c).alias(f"{c}|median") for c in columns] if small else []),
+    ).first()
+    profile: dict[str, dict[str, float]] = {c: {} for c in columns}
+    for key, value in row.asDict().items():
+        column, _, name = key.rpartition("|")
+        profile[column][name] = value
+    if not small:
+        for r in percentiles(melt(df, [], columns), ["component"], {"m": ("value", 0.5)}, None).collect():
+            profile[r["component"]]["median"] = r["m"]
+    profile = {c: p for c, p in profile.items() if p["n"]}
+    spread = df.select(
+        *[F.abs(F.col(c) - F.lit(profile[c]["median"])).alias(f"{c}|mad") for c in profile],
+        *[F.abs(F.col(c)).alias(f"{c}|abs_median") for c in profile],
     )
-    spread = percentiles(
-        deviations, ["component"], {"mad": ("dev", 0.5), "size": ("size", 0.5)}, cold_rows=None
-    ).collect()
-    for r in spread:
-        profile[r["component"]].update(mad=r["mad"], abs_median=r["size"])
+    names = spread.columns
+    if small:
+        found = spread.agg(*[F.median(F.col(f"`{n}`")).alias(n) for n in names]).first().asDict()
+    else:
+        long = melt(spread.toDF(*[str(i) for i in range(len(names))]), [], [str(i) for i in range(len(names))])
+        rows = percentiles(long, ["component"], {"m": ("value", 0.5)}, None).collect()
+        found = {names[int(r["component"])]: r["m"] for r in rows}
+    for key, value in found.items():
+        column, _, name = key.rpartition("|")
+        profile[column][name] = value
     return profile
 
 
@@ -106,7 +107,7 @@ def robust_by_group(
     base = materialize(df.select(*ids, *columns))
     long = melt(base, ids, columns)
     keys = [*group, "component"]
-    centred = long.join(percentiles(long, keys, {"_med": ("value", 0.5)}, cold_rows), keys)
+    centred = materialize(long.join(percentiles(long, keys, {"_med": ("value", 0.5)}, cold_rows), keys))
     spread = percentiles(
         centred.withColumn("_dev", F.abs(F.col("value") - F.col("_med"))),
         keys,

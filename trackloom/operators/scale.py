@@ -30,6 +30,15 @@ BUCKETS_PER_E = 512
 
 
 # --------------------------------------------------------------------------- order by frame
+def one_chunk(df: DataFrame, order: str, chunk: int = CHUNK_FRAMES) -> bool:
+    """Whether every value of the integer ``order`` lies in the same chunk.
+
+    Run it on a materialised table, where it reads a single column.
+    """
+    row = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    return row["lo"] is None or row["lo"] // chunk == row["hi"] // chunk
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,16 +46,28 @@ def with_previous(
     columns: Sequence[str],
     depth: int = 1,
     chunk: int = CHUNK_FRAMES,
+    single: bool | None = None,
 ) -> DataFrame:
     """Add ``prev{n}_{column}`` (n = 1..depth) of the n-th earlier row of the key.
 
     ``order`` is an integer that is unique within ``keys``, so one (key, chunk)
     group has at most ``chunk`` rows.  The last ``depth`` rows of every chunk are
-    handed to the next one as its halo; a long key therefore spreads over many
-    tasks, and a key inside one chunk pays one shuffle only.
+    handed to the next one as its halo, so a long key spreads over many tasks.
+    When the whole table lies in one chunk (``single``, found by one min/max over
+    the input unless given) no halo exists and the plain window is already bounded.
     """
     keys = list(keys)
     wanted = [order] + [c for c in columns if c != order]
+    if one_chunk(df, order, chunk) if single is None else single:
+        bounded = Window.partitionBy(*keys).orderBy(order)
+        return df.select(
+            "*",
+            *[
+                F.lag(F.col(c), n).over(bounded).alias(f"prev{n}_{c}")
+                for n in range(1, depth + 1)
+                for c in wanted
+            ],
+        )
     parts = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long")).repartition(
         *[F.col(k) for k in keys], F.col("_chunk")
     )
@@ -86,11 +107,13 @@ def running(
     order: str,
     wanted: Mapping[str, tuple[str, str]],
     chunk: int = CHUNK_FRAMES,
+    single: bool = False,
 ) -> DataFrame:
     """Inclusive running aggregates along an integer order, carried across chunks.
 
     ``wanted`` maps an output name to ``(kind, column)`` with kind ``sum``,
-    ``max`` or ``last`` (last non-null value, i.e. forward fill).
+    ``max`` or ``last`` (last non-null value, i.e. forward fill).  With ``single``
+    the caller knows that all rows share a chunk, so nothing is carried.
     """
     keys = list(keys)
     group = [*keys, "_chunk"]
@@ -120,6 +143,12 @@ def running(
         else:
             raise ValueError(f"unknown running aggregate {kind!r}")
         out.append(total.alias(name))
+    if single:
+        plain = [
+            (F.coalesce(F.col(f"_in_{name}"), F.lit(0)) if kind == "sum" else F.col(f"_in_{name}")).alias(name)
+            for name, (kind, _) in wanted.items()
+        ]
+        return parts.withColumns(over_rows).select(*[F.col(c) for c in df.columns], *plain)
     carry = parts.groupBy(*group).agg(*per_chunk).select(*group, *carried)
     return (
         parts.withColumns(over_rows)
@@ -170,8 +199,9 @@ def percentiles(
 
     ``wanted`` maps an output name to ``(column, q)``; instead of a share ``q`` may
     be a function of the number of values that gives the 0-based position.  Keys of at most
-    ``cold_rows`` rows use the built-in aggregate.  The others (there can be only
-    rows / cold_rows of them, so their key list is broadcast) go through
+    ``cold_rows`` rows use the built-in aggregate; whether larger ones exist is
+    checked first (so pass a materialised table).  There can be only rows /
+    cold_rows of those, hence their key list is broadcast, and they go through
     ``bucketed_percentiles``.  ``cold_rows=None`` treats every key as large.
     """
     keys = list(keys)
@@ -179,14 +209,14 @@ def percentiles(
     df = df.select(*keys, *columns)
     if cold_rows is None:
         return bucketed_percentiles(df, keys, wanted)
+    plain = [_cold_percentile(c, q).alias(a) for a, (c, q) in wanted.items()]
     hot_keys = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cold_rows).select(*keys)
     )
-    cold = (
-        df.join(F.broadcast(hot_keys), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(*[_cold_percentile(c, q).alias(a) for a, (c, q) in wanted.items()])
-    )
+    if hot_keys.isEmpty():
+        return df.groupBy(*keys).agg(*plain)
+    hot_keys = materialize(hot_keys)
+    cold = df.join(F.broadcast(hot_keys), keys, "left_anti").groupBy(*keys).agg(*plain)
     hot = bucketed_percentiles(df.join(F.broadcast(hot_keys), keys, "left_semi"), keys, wanted)
     return cold.unionByName(hot)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import clamp
 from trackloom.operators.motion import LOW_CONFIDENCE, TRACK, track_steps
-from trackloom.operators.scale import percentiles, running, with_previous
+from trackloom.operators.scale import one_chunk, percentiles, running, with_previous
 
 # Component weights and segment rule of the simple track detector.
 WEIGHTS = {
@@ -68,14 +68,16 @@ def event_segments(
 
     A frame at or below the threshold closes a run, and so does a jump of more
     than ``max_gap`` frames.  A run reports its peak, the reason of the first frame
-    that reaches it, and the largest value of each component.
+    that reaches it, and the largest value of each component.  Pass a
+    materialised table.
     """
     keys = list(keys)
     max_gap = max(int(max_gap), 1)
     usable = frame_scores.where(
         F.col("frame_id").isNotNull() & ~F.isnan(F.coalesce(F.col("score"), F.lit(0.0)))
     ).withColumn("score", F.coalesce(F.col("score"), F.lit(0.0)))
-    lagged = with_previous(usable, keys, "frame_id", ["score"], depth=1)
+    single = one_chunk(frame_scores, "frame_id")
+    lagged = with_previous(usable, keys, "frame_id", ["score"], depth=1, single=single)
     above = F.col("score") > threshold
     opens = above & (
         F.col("prev1_frame_id").isNull()
@@ -83,7 +85,7 @@ def event_segments(
         | (F.col("frame_id") > F.col("prev1_frame_id") + max_gap)
     )
     marked = lagged.withColumn("_open", F.when(opens, F.col("frame_id")))
-    labelled = running(marked, keys, "frame_id", {"_segment": ("last", "_open")}).where(above)
+    labelled = running(marked, keys, "frame_id", {"_segment": ("last", "_open")}, single=single).where(above)
     earliest_peak = F.struct(F.col("score"), -F.col("frame_id"))
     return (
         labelled.groupBy(*keys, "_segment")

@@ -5,6 +5,7 @@ import importlib
 MODULES = [
     "observation_queries",
     "detector_queries",
+    "group_queries",
 ]
 
 

@@ -13,7 +13,12 @@ from trackloom.sources.tables import observations
 
 
 def points(spark, sf):
-    return fuse_points(observations(spark, sf))
+    """The stored table of fused points that the track operators read."""
+    return materialize(fuse_points(observations(spark, sf)))
+
+
+def steps(spark, sf):
+    return materialize(motion.track_steps(points(spark, sf)))
 
 
 _OBJ = "window_id, sequence, track_id, sample_id, frame_start, frame_end"
@@ -114,7 +119,8 @@ def simple_track_scores(spark, sf):
     ),
 )
 def frame_evidence(spark, sf):
-    return segments.frame_evidence(points(spark, sf)).drop("sequence", "track_id")
+    rows = steps(spark, sf)
+    return segments.frame_evidence(rows, rows).drop("sequence", "track_id")
 
 
 @query(
@@ -128,7 +134,9 @@ def frame_evidence(spark, sf):
     ),
 )
 def event_segments(spark, sf):
-    found = segments.event_segments(segments.frame_evidence(points(spark, sf)), components=["speed_spike"])
+    rows = steps(spark, sf)
+    evidence = materialize(segments.frame_evidence(rows, rows))
+    found = segments.event_segments(evidence, components=["speed_spike"])
     return found.drop("sequence", "track_id")
 
 
@@ -170,7 +178,7 @@ def lightweight_group_scores(spark, sf):
 def fused_scores(spark, sf):
     """Flagship: track scores and window scores fused into one ranking."""
     obs = observations(spark, sf)
-    individual = detectors.simple_track_scores(fuse_points(obs))
+    individual = detectors.simple_track_scores(materialize(fuse_points(obs)))
     group = windows.aggregate_to_tracks(windows.linear_prediction(windows.window_points(obs)))
     return detectors.fuse_scores(individual, group).orderBy(F.col("score").desc(), "sample_id")
 

@@ -8,8 +8,13 @@ from trackloom.operators import motion, pairing, quality
 from trackloom.operators.scale import dense_position
 from trackloom.plans import oracle as sql
 from trackloom.plans.registry import query, select
+from trackloom.session import materialize
 from trackloom.sources.tables import detections, observations, raw_detections
 
+def points(spark, sf):
+    return materialize(pairing.fuse_points(observations(spark, sf)))
+
+
 _DET = """det AS (
   SELECT 'rgb' AS modality, sequence, track_id, frame_id, event_id, rgb_cx AS cx, rgb_cy AS cy, w, h FROM raw WHERE rgb_cx IS NOT NULL
   UNION ALL
@@ -202,7 +207,7 @@ _LINK = """link AS (
     ),
 )
 def temporal_linkage(spark, sf):
-    return motion.temporal_linkage(observations(spark, sf))
+    return motion.temporal_linkage(materialize(observations(spark, sf)))
 
 
 _TQ = """tq AS (SELECT *, visible_any_frames / num_points AS fused_ratio,
@@ -222,7 +227,7 @@ _TQ_RULES = {"min_points": 25, "min_visible": 24, "max_frame_gap": 8, "min_fused
     ),
 )
 def track_quality(spark, sf):
-    return quality.track_quality(observations(spark, sf), **_TQ_RULES).withColumn(
+    return quality.track_quality(materialize(observations(spark, sf)), **_TQ_RULES).withColumn(
         "drop_reasons", F.concat_ws(",", "drop_reasons")
     )
 
@@ -237,7 +242,7 @@ def track_quality(spark, sf):
     ),
 )
 def drop_reason_counts(spark, sf):
-    return quality.drop_reason_counts(quality.track_quality(observations(spark, sf), **_TQ_RULES))
+    return quality.drop_reason_counts(quality.track_quality(materialize(observations(spark, sf)), **_TQ_RULES))
 
 
 @query(
@@ -249,7 +254,7 @@ def drop_reason_counts(spark, sf):
     ),
 )
 def keep_tracks(spark, sf):
-    obs = observations(spark, sf)
+    obs = materialize(observations(spark, sf))
     kept = quality.keep_tracks(pairing.fuse_points(obs), quality.track_quality(obs, **_TQ_RULES))
     return kept.select("sample_id", "frame_id", "cx", "cy")
 
@@ -271,7 +276,7 @@ _VEL = """vel AS (
     ),
 )
 def velocity(spark, sf):
-    return motion.modality_velocity(observations(spark, sf), fps=10.0).select(
+    return motion.modality_velocity(materialize(observations(spark, sf)), fps=10.0).select(
         "sample_id", "modality", "frame_id", "vx", "vy", "speed", "speed_per_second"
     )
 
@@ -283,7 +288,7 @@ def velocity(spark, sf):
     ),
 )
 def track_steps(spark, sf):
-    return motion.track_steps(pairing.fuse_points(observations(spark, sf))).select(
+    return motion.track_steps(points(spark, sf)).select(
         "sample_id", "frame_id", "step", "speed", "acceleration", "jerk", "turn", "heading_turn"
     )
 
@@ -295,12 +300,12 @@ def _features(names: list[str]) -> str:
 
 @query("track_features", select(_features(motion.HANDCRAFTED), "hand", [*sql.MOTION, sql.HANDCRAFTED]))
 def track_features(spark, sf):
-    return motion.handcrafted_features(pairing.fuse_points(observations(spark, sf)))
+    return motion.handcrafted_features(points(spark, sf))
 
 
 @query("kinematic_features", select(_features(motion.KINEMATIC), "kin", [*sql.MOTION, sql.KINEMATIC]))
 def kinematic_features(spark, sf):
-    return motion.kinematic_features(pairing.fuse_points(observations(spark, sf)))
+    return motion.kinematic_features(points(spark, sf))
 
 
 @query(
@@ -312,7 +317,7 @@ def kinematic_features(spark, sf):
     ),
 )
 def simple_components(spark, sf):
-    return motion.simple_components(pairing.fuse_points(observations(spark, sf)))
+    return motion.simple_components(materialize(motion.track_steps(points(spark, sf))))
 
 
 @query("distinct_sequences", select("DISTINCT sequence", "obs", sql.BASE))

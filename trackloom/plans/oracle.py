@@ -303,3 +303,42 @@ def stratified(score: str, axes: list[str]) -> list[str]:
   FROM lrank l JOIN grank g USING (sample_id) GROUP BY sample_id)"""
     )
     return ctes
+
+
+def _standardised(name: str, source: str, key: str, columns: list[str]) -> list[str]:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in columns)
+    vec = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END" for c in columns)
+    return [
+        f"{name}_stats AS (SELECT {stats} FROM {source} JOIN split USING (sequence) WHERE split = 'train')",
+        f"{name}_vec AS (SELECT {key} AS id, split, [{vec}]::DOUBLE[] AS v FROM {source} JOIN split USING (sequence), {name}_stats)",
+    ]
+
+
+_L2 = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+
+
+def knn(name: str, source: str, key: str, columns: list[str], k: int) -> list[str]:
+    """Mean distance of validation rows to their k nearest training rows."""
+    return [
+        *_standardised(name, source, key, columns),
+        f"""{name} AS (SELECT id AS {key}, avg(d) AS score FROM (
+  SELECT a.id, {_L2} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_L2}, b.id) AS rn
+  FROM {name}_vec a JOIN {name}_vec b ON a.split = 'val' AND b.split = 'train') n WHERE rn <= {k} GROUP BY id)""",
+    ]
+
+
+def lof(name: str, source: str, key: str, columns: list[str], k: int) -> list[str]:
+    """Local outlier factor of validation rows against training rows."""
+    top = f"QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_L2}, b.id) <= least({k}, (SELECT count(*) FROM {name}_vec WHERE split = 'train') - 1)"
+    return [
+        *_standardised(name, source, key, columns),
+        f"""{name}_in AS (SELECT a.id AS q, b.id AS n, {_L2} AS d FROM {name}_vec a JOIN {name}_vec b
+  ON a.split = 'train' AND b.split = 'train' AND a.id <> b.id {top})""",
+        f"{name}_kd AS (SELECT q AS n, max(d) AS kd FROM {name}_in GROUP BY q)",
+        f"{name}_lrd AS (SELECT q AS n, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM {name}_in JOIN {name}_kd USING (n) GROUP BY q)",
+        f"""{name}_out AS (SELECT a.id AS q, b.id AS n, {_L2} AS d FROM {name}_vec a JOIN {name}_vec b
+  ON a.split = 'val' AND b.split = 'train' {top})""",
+        f"{name}_own AS (SELECT q, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM {name}_out JOIN {name}_kd USING (n) GROUP BY q)",
+        f"""{name} AS (SELECT o.q AS {key}, avg(l.lrd / w.lrd) AS score FROM {name}_out o JOIN {name}_lrd l ON o.n = l.n
+  JOIN {name}_own w ON o.q = w.q GROUP BY o.q)""",
+    ]
