@@ -6,6 +6,7 @@ MODULES = [
     "observation_queries",
     "detector_queries",
     "group_queries",
+    "protocol_queries",
 ]
 
 

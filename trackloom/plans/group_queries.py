@@ -194,7 +194,7 @@ def context_aware_features(spark, sf):
 @query(
     "neighbour_set_change",
     select(
-        """o.window_id, o.frame_id, o.track_id, ~CASE WHEN pf IS NULL OR len(list_distinct(list_concat(o.ns, p.ns))) = 0 THEN 0.0
+        """o.window_id, o.frame_id, o.track_id, ~CASE WHEN o.pf IS NULL OR len(list_distinct(list_concat(o.ns, p.ns))) = 0 THEN 0.0
            ELSE 1 - len(list_intersect(o.ns, p.ns)) / len(list_distinct(list_concat(o.ns, p.ns))) END AS neighbour_change""",
         "ns2 o LEFT JOIN ns2 p ON p.window_id = o.window_id AND p.track_id = o.track_id AND p.frame_id = o.pf",
         [
