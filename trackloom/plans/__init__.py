@@ -7,6 +7,7 @@ MODULES = [
     "detector_queries",
     "group_queries",
     "protocol_queries",
+    "report_queries",
 ]
 
 
