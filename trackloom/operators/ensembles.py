@@ -61,12 +61,15 @@ def isolation_forest(
             me = len(nodes)
             nodes.append([tree, me, -1, 0.0, -1, -1, len(index)])
             part = data[index]
+            if len(index) <= 1:
+                return me
             low, high = part.min(axis=0), part.max(axis=0)
             open_axes = np.nonzero(high > low)[0]
-            if depth >= limit or len(index) <= 1 or len(open_axes) == 0:
+            if depth >= limit or len(open_axes) == 0:
                 return me
             axis = int(rng.choice(open_axes))
             cut = float(rng.uniform(low[axis], high[axis]))
+            cut = cut if cut < high[axis] else float(low[axis])
             left = part[:, axis] <= cut
             nodes[me][2:4] = [axis, cut]
             nodes[me][4] = build(index[left], depth + 1)

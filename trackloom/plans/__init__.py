@@ -8,6 +8,7 @@ MODULES = [
     "group_queries",
     "protocol_queries",
     "report_queries",
+    "series_queries",
 ]
 
 
