@@ -9,10 +9,13 @@ straight to counts, sums and the k nearest; partial results merge per object.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_OBJECTS = 512
 FRAME = ["window_id", "frame_id"]
@@ -36,38 +39,8 @@ def neighbour_stats(
         F.col(id_col).alias("id"), *[F.col(c).alias(c) for c in coords], *[F.col(c).alias(c) for c in extra]
     )
 
-    def distance(a, b):
-        return F.sqrt(sum(((a[c] - b[c]) * (a[c] - b[c]) for c in coords), F.lit(0.0)))
-
     def meet(blocks: DataFrame) -> DataFrame:
-        def one(a):
-            others = F.filter("_right", lambda b: b["id"] != a["id"])
-            found = F.transform(
-                others,
-                lambda b: F.struct(
-                    distance(a, b).alias("distance"), b["id"].alias("id"), *[b[c].alias(c) for c in extra]
-                ),
-            )
-            return F.struct(a["id"].alias("id"), found.alias("found"))
-
-        def reduce(s):
-            return F.struct(
-                s["id"].alias("id"),
-                F.size(s["found"]).cast("long").alias("num_others"),
-                F.size(F.filter(s["found"], lambda n: n["distance"] <= radius)).cast("long").alias("num_near"),
-                F.aggregate(s["found"], F.lit(0.0), lambda acc, n: acc + n["distance"]).alias("sum_distance"),
-                F.slice(F.array_sort(s["found"]), 1, k).alias("nearest"),
-            )
-
-        rows = blocks.select(*group, F.explode(F.transform(F.transform("_left", one), reduce)).alias("_r"))
-        return rows.select(
-            *group,
-            F.col("_r.id").alias(id_col),
-            "_r.num_others",
-            "_r.num_near",
-            "_r.sum_distance",
-            "_r.nearest",
-        )
+        return _meet(blocks, points, group, id_col, coords, k, radius, extra)
 
     sizes = points.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     crowded = sizes.where(F.col("_n") > block)
@@ -97,6 +70,93 @@ def neighbour_stats(
     return meet(single).unionByName(merged)
 
 
+def _meet(
+    blocks: DataFrame,
+    points: DataFrame,
+    group: Sequence[str],
+    id_col: str,
+    coords: Sequence[str],
+    k: int,
+    radius: float,
+    extra: Sequence[str],
+) -> DataFrame:
+    """Reduce every (``_left``, ``_right``) block row to one row per left object."""
+    id_type = points.schema[id_col].dataType
+    found = T.StructType(
+        [T.StructField("distance", T.DoubleType()), T.StructField("id", id_type)]
+        + [T.StructField(c, T.DoubleType()) for c in extra]
+    )
+    schema = T.StructType(
+        [points.schema[g] for g in group]
+        + [
+            T.StructField(id_col, id_type),
+            T.StructField("num_others", T.LongType()),
+            T.StructField("num_near", T.LongType()),
+            T.StructField("sum_distance", T.DoubleType()),
+            T.StructField("nearest", T.ArrayType(found)),
+        ]
+    )
+    width = len(coords)
+
+    def unpack(lists: pa.Array):
+        flat = lists.flatten()
+        columns = [flat.field(i) for i in range(flat.type.num_fields)]
+        numbers = [c.to_numpy(zero_copy_only=False) for c in columns[1:]]
+        return columns[0], columns[0].to_numpy(zero_copy_only=False), numbers, lists.value_lengths().to_numpy()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            left_ids, left_names, left, left_sizes = unpack(batch.column("_left"))
+            right_ids, right_names, right, right_sizes = unpack(batch.column("_right"))
+            left_at = np.concatenate([[0], np.cumsum(left_sizes)])
+            right_at = np.concatenate([[0], np.cumsum(right_sizes)])
+            others, near, total, picked, distances, lengths = [], [], [], [], [], []
+            for row in range(batch.num_rows):
+                ls, rs = slice(left_at[row], left_at[row + 1]), slice(right_at[row], right_at[row + 1])
+                order = np.argsort(right_names[rs], kind="stable")
+                names = right_names[rs][order]
+                matrix = np.zeros((ls.stop - ls.start, rs.stop - rs.start))
+                for axis in range(width):
+                    step = left[axis][ls][:, None] - right[axis][rs][order][None, :]
+                    matrix += step * step
+                matrix = np.sqrt(matrix)
+                own = left_names[ls][:, None] == names[None, :]
+                count = (~own).sum(axis=1)
+                others.append(count)
+                near.append(((matrix <= radius) & ~own).sum(axis=1))
+                total.append(np.where(own, 0.0, matrix).sum(axis=1))
+                matrix[own] = np.inf
+                # columns are in id order, so a stable sort breaks ties by id
+                best = np.argsort(matrix, axis=1, kind="stable")[:, :k]
+                valid = np.arange(best.shape[1])[None, :] < count[:, None]
+                picked.append(rs.start + order[best][valid])
+                distances.append(np.take_along_axis(matrix, best, axis=1)[valid])
+                lengths.append(valid.sum(axis=1))
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), left_sizes))
+            take = pa.array(np.concatenate(picked))
+            structs = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(distances)), right_ids.take(take)]
+                + [pa.array(right[width + i]).take(take) for i in range(len(extra))],
+                names=["distance", "id", *extra],
+            )
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("int32"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(g).take(rows) for g in group]
+                + [
+                    left_ids,
+                    pa.array(np.concatenate(others).astype("int64")),
+                    pa.array(np.concatenate(near).astype("int64")),
+                    pa.array(np.concatenate(total)),
+                    pa.ListArray.from_arrays(offsets, structs),
+                ],
+                names=[f.name for f in schema.fields],
+            )
+
+    return blocks.select(*group, "_left", "_right").mapInArrow(kernel, schema)
+
+
 def knn_edges(
     points: DataFrame,
     k: int = 3,
