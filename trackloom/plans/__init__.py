@@ -9,6 +9,7 @@ MODULES = [
     "protocol_queries",
     "report_queries",
     "series_queries",
+    "source_queries",
 ]
 
 
