@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from trackloom.session import shared_dir
 
 HISTORY = 16
+IDLE_MS = 7 * 24 * 3600 * 1000
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -102,15 +103,18 @@ def step_changes(
         steps.append(step)
         changes.append(change)
     state.update((x, y, history))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    latest = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame({"sample_id": key[0], "event_id": rows["event_id"], "step": steps, "change": changes})
 
 
-def track_changes(points: DataFrame) -> DataFrame:
+def track_changes(points: DataFrame, late: str = "1 day") -> DataFrame:
+    """Online step changes; a track idle for IDLE_MS of event time loses its state."""
     return (
-        points.select("sample_id", "event_id", "cx", "cy")
+        points.withWatermark("ts", late)
+        .select("sample_id", "event_id", "ts", "cx", "cy")
         .groupBy("sample_id")
-        .applyInPandasWithState(step_changes, CHANGES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(step_changes, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
