@@ -374,3 +374,88 @@ def compatibility(matches: DataFrame, tau: float, block: int = NEAR_BLOCK) -> Da
 
     rows = met.select("pair_id", F.explode(F.transform("_m", degree)).alias("r")).select("pair_id", "r.*")
     return rows.groupBy("pair_id", "pt").agg(F.sum("degree").alias("degree"))
+
+
+def ball_query(points: DataFrame, radius: float, n: int, block: int = NEAR_BLOCK) -> DataFrame:
+    """The first n points (by index) within the radius of every point, itself included.
+
+    Block pairs reduce to n candidates per point at once; the candidates of all
+    blocks of a point are then cut to n again.
+    """
+    met = _self_blocks(points, block)
+
+    def near(a):
+        inside = F.filter("_o", lambda b: sum(((a[c] - b[c]) ** 2 for c in AXES), F.lit(0.0)) <= radius * radius)
+        found = F.array_sort(F.transform(inside, lambda b: b["pt"]))
+        return F.struct(a["pt"].alias("pt"), F.slice(found, 1, n).alias("found"))
+
+    rows = met.select("pair_id", F.explode(F.transform("_m", near)).alias("r")).select("pair_id", "r.*")
+    hits = rows.select("pair_id", "pt", F.explode("found").alias("neighbour"))
+    w = Window.partitionBy("pair_id", "pt").orderBy("neighbour")
+    return hits.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= n)
+
+
+def _self_blocks(points: DataFrame, block: int) -> DataFrame:
+    """Every block of a cloud (``_m``) with every block of the same cloud (``_o``)."""
+    sizes = points.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+    marked = points.join(sizes, "pair_id").withColumn("_b", F.pmod(F.xxhash64("pt"), F.col("_nb")).cast("int"))
+    packed = marked.groupBy("pair_id", "_nb", "_b").agg(F.collect_list(F.struct("pt", *AXES)).alias("_m"))
+    left = packed.select("pair_id", "_m", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
+    return left.join(packed.select("pair_id", "_b", F.col("_m").alias("_o")), ["pair_id", "_b"])
+
+
+def normals(points: DataFrame, k: int = 8, block: int = NEAR_BLOCK) -> DataFrame:
+    """Unit normal of every point: the thinnest direction of its k nearest points.
+
+    Spark finds the neighbours and sums their moments; NumPy takes the smallest
+    eigenvector of the 3 x 3 covariances, batched.  The largest component of a
+    normal is positive.
+    """
+    met = _self_blocks(points, block)
+
+    def near(a):
+        found = F.transform(
+            F.filter("_o", lambda b: b["pt"] != a["pt"]),
+            lambda b: F.struct(
+                sum(((a[c] - b[c]) ** 2 for c in AXES), F.lit(0.0)).alias("d2"), b["pt"].alias("pt"), *[b[c].alias(c) for c in AXES]
+            ),
+        )
+        return F.struct(a["pt"].alias("pt"), F.slice(F.array_sort(found), 1, k).alias("found"))
+
+    rows = met.select("pair_id", F.explode(F.transform("_m", near)).alias("r")).select("pair_id", "r.*")
+    hits = rows.select("pair_id", "pt", F.explode("found").alias("n"))
+    w = Window.partitionBy("pair_id", "pt").orderBy("n.d2", "n.pt")
+    best = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    moments = best.groupBy("pair_id", "pt").agg(
+        *[F.covar_pop(f"n.{a}", f"n.{b}").alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
+    )
+
+    @F.pandas_udf("array<double>")
+    def thinnest(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
+        cells = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).astype(float).reshape(-1, 3, 3)
+        _, vectors = np.linalg.eigh(cells)
+        normal = vectors[:, :, 0]
+        lead = np.take_along_axis(normal, np.abs(normal).argmax(axis=1)[:, None], axis=1)
+        return pd.Series(list(normal * np.where(lead < 0, -1.0, 1.0)))
+
+    names = ["cxx", "cxy", "cxz", "cyy", "cyz", "czz"]
+    return moments.select("pair_id", "pt", thinnest(*names).alias("normal"))
+
+
+# The robustness cases (noise, points, kept share).
+CASES = {
+    "base_crop": ("crop", 256, 0.7),
+    "sparse_crop": ("crop", 256, 0.5),
+    "dense_crop": ("crop", 256, 0.9),
+    "points_512": ("crop", 512, 0.7),
+    "jitter": ("jitter", 256, 0.7),
+    "clean": ("clean", 256, 0.7),
+}
+
+
+def case_clouds(points: DataFrame, case: str, seed: int = 42) -> DataFrame:
+    """A cloud as one robustness case sees it: cropped or jittered, then resampled."""
+    noise, count, keep = CASES[case]
+    rows = crop(points, keep, seed) if noise == "crop" else points
+    rows = resample_points(rows, count, seed)
+    return jitter(rows, seed=seed) if noise == "jitter" else rows

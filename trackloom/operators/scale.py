@@ -360,14 +360,12 @@ def row_positions(
     counted and used.
     """
     keys = list(keys)
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorting = [F.col(k).asc() for k in keys] + [
         F.col(c).asc() if asc else F.col(c).desc() for c, asc in order
     ]
-    placed = materialize(
-        df.repartitionByRange(parts, *sorting).withColumn("_pid", F.spark_partition_id())
-    )
+    # without a number AQE merges neighbouring small ranges, which keeps the order
+    ranged = df.repartitionByRange(partitions, *sorting) if partitions else df.repartitionByRange(*sorting)
+    placed = materialize(ranged.withColumn("_pid", F.spark_partition_id()))
     sizes = placed.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

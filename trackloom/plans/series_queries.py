@@ -397,3 +397,41 @@ def registration_macro(spark, sf):
     """Every pair counts as a case of its own."""
     cases = cloud.registration_metrics(pair_table(spark, sf), ["method", "pair_id"])
     return cloud.macro_metrics(cases)
+
+
+@query(
+    "ball_query",
+    select(
+        "pair_id, pt, neighbour, slot::INT AS slot",
+        """(SELECT a.pair_id, a.pt, b.pt AS neighbour, row_number() OVER (PARTITION BY a.pair_id, a.pt ORDER BY b.pt) AS slot FROM cl a JOIN cl b
+            ON a.pair_id = b.pair_id AND (a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2 <= 0.04) n""",
+        [_CLOUD],
+        "WHERE slot <= 4",
+    ),
+)
+def ball_query(spark, sf):
+    return cloud.ball_query(materialize(clouds(spark, sf)), 0.2, 4)
+
+
+@query("point_normals")
+def point_normals(spark, sf):
+    found = cloud.normals(materialize(clouds(spark, sf)), 8)
+    return found.select("pair_id", "pt", *[found.normal[i].alias(f"n{a}") for i, a in enumerate(cloud.AXES)])
+
+
+@query("robustness_cases")
+def robustness_cases(spark, sf):
+    """Correspondence poses under every robustness case, averaged over cases."""
+    source, target, poses, _ = _matches(spark, sf)
+    there = target.select("pair_id", "pt", *[F.col(a).alias(f"t{a}") for a in cloud.AXES])
+    cases = None
+    for name in cloud.CASES:
+        seen = materialize(cloud.case_clouds(source, name))
+        solved = cloud.kabsch(seen.join(there, ["pair_id", "pt"]))
+        estimates = solved.select(F.lit("kabsch").alias("method"), "pair_id", "pose", F.lit(0.0).alias("runtime_sec"))
+        moved = cloud.apply_pose(source.join(solved, "pair_id")).drop("pose")
+        distances = cloud.chamfer(moved, target).withColumn("method", F.lit("kabsch"))
+        results = cloud.pair_results(estimates, poses, distances)
+        part = cloud.registration_metrics(results).withColumn("case", F.lit(name))
+        cases = part if cases is None else cases.unionByName(part)
+    return cloud.macro_metrics(materialize(cases))

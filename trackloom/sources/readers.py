@@ -280,7 +280,7 @@ def read_external_scores(
 
 def read_pose_log(spark: SparkSession, path: str) -> DataFrame:
     """``i j n`` headers followed by four matrix lines: (file, i, j, pose of twelve numbers)."""
-    text = spark.read.option("wholetext", True).text(path).select(
+    text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines")
     )
     rows = text.select("file", F.posexplode("lines").alias("line", "value"))
