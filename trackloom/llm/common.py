@@ -104,7 +104,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, members: Members, partitions: i
     )
     other = placed.select("x", "y", "_part").join(texts.withColumnRenamed("node", "x"), "x")
     rows = (
-        first.select("y", "_part", F.lit(None).cast("long").alias("x"), "_text")
+        first.select("y", "_part", F.lit(None).cast(pairs.schema["x"].dataType).alias("x"), "_text")
         .unionByName(other.select("y", "_part", "x", "_text"))
         .repartition(partitions, "y", "_part")
         .sortWithinPartitions("y", "_part", F.col("x").asc_nulls_first())
@@ -116,7 +116,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, members: Members, partitions: i
             row, member = members(batch.column("_text"))
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             ys, xs = batch.column("y").to_pylist(), batch.column("x").to_pylist()
-            out = []
+            out: list[tuple] = []
             for i, (y, x) in enumerate(zip(ys, xs)):
                 own = member[at[i] : at[i + 1]]
                 if x is None:
@@ -130,10 +130,12 @@ def overlaps(pairs: DataFrame, texts: DataFrame, members: Members, partitions: i
                     common = int((held[place] == own).sum())
                 out.append((x, y, len(own), len(held), common))
             if out:
-                cols = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["x", "y", "nx", "ny", "common"])
+                kinds = [batch.schema.field("x").type] * 2 + [pa.int64()] * 3
+                cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays(cols, names=["x", "y", "nx", "ny", "common"])
 
-    return rows.mapInArrow(compare, "x long, y long, nx long, ny long, common long")
+    kind = pairs.schema["x"].dataType.simpleString()
+    return rows.mapInArrow(compare, f"x {kind}, y {kind}, nx long, ny long, common long")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import probminhash
+from trackloom.llm import line_join, probminhash
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def query(name: str, sql: str | None = None):
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = probminhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "copy_of", "cluster_id", "cluster_size", "kept")
+
+
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.line_report(table(spark, sf_dir, "documents"))
