@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.words import chunks
@@ -140,3 +140,37 @@ def overlaps(pairs: DataFrame, texts: DataFrame, members: Members, partitions: i
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running_sums(df: DataFrame, order: list[str], value: str, by: tuple[str, ...] = (), out: str = "cum") -> DataFrame:
+    """``df`` with the inclusive sum of ``value`` along ``order`` (which starts with ``by``), per ``by``.
+
+    The table is range-partitioned, so that a key of any size spreads over tasks, and written once: its
+    partition numbers must not change between the sums per partition and the sums within it.
+    """
+    spark = df.sparkSession
+    sort = [F.col(c).asc_nulls_last() for c in order]
+    placed = materialize(
+        df.repartitionByRange(shuffle_partitions(spark), *sort).withColumn("_p", F.spark_partition_id())
+    )
+    totals = placed.groupBy("_p", *by).agg(F.sum(value).alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    within = Window.partitionBy("_p", *by).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.withColumn("_within", F.sum(value).over(within))
+        .join(totals, ["_p", *by])
+        .withColumn(out, F.col("_before") + F.col("_within"))
+        .drop("_p", "_before", "_within")
+    )
+
+
+def n_words(text) -> Column:
+    """Number of words ``[^\\x20\\x09-\\x0D]+``; a null text has none."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, SPACE))).otherwise(0).cast("long")
+
+
+def host_key(column: str) -> Column:
+    """A key that is never null and tells a null from every string."""
+    return F.when(F.col(column).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(column).cast("string")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import line_join, probminhash
+from trackloom.llm import host_rules, line_join, mixing, probminhash
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_line_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_join.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_host_quality_rules", host_rules.oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op2_source_mixing", mixing.oracle())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", (F.round("target", 6) + F.lit(0.0)).alias("target"), "taken")
