@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import host_rules, line_join, mixing, pieces, probminhash
+from trackloom.llm import host_rules, license_automaton, line_join, mixing, pieces, probminhash
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_piece_encoding")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_automaton.scanned(table(spark, sf_dir, "documents"))
