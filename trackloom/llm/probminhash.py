@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import (
@@ -33,6 +33,10 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 twenty bands of five rows miss 4 pairs in 10,000, at 0.85 one in a million.
 BANDS, ROWS = 20, 5
+#: Turns in which clusters that share a bucket meet one more leader, before they meet in full.
+TURNS = 1
+#: Documents of a bucket that meet in one task.
+BLOCK = 1024
 
 _STEP = U64(0x9E3779B97F4A7C15)
 _PLACES = [U64(x) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3)]
@@ -136,9 +140,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Null ids come last among ids.  Null texts and texts without words are alike to nothing: clusters of
     their own.  An empty table gives an empty result.
 
-    Copies collapse into one class first.  In a bucket of a band every class meets the smallest one only;
-    those that fail meet the other members unless the distances to that one (a metric) already tell them
-    apart.  So a bucket of n near copies costs n pairs, and no pair that shares a band is left out.
+    Copies collapse into one class first.  In a bucket of a band every class meets two leaders only; where a
+    bucket still holds members of different clusters, those meet another leader for some turns, and what is apart
+    after that meets in full.  So a family of n near copies costs about n pairs, and no link between texts that
+    share a band is lost.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -152,13 +157,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     shared = materialize(
-        buckets.groupBy("bucket").agg(F.min("node").alias("y"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     )
-    members = materialize(
-        (buckets.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS // 4 else shared, "bucket"))
-    )
-    pairs = materialize(members.where("node <> y").select(F.col("node").alias("x"), "y").distinct())
-    nodes = materialize(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
+    few = shared.count() <= BROADCAST_ROWS // 4
+    members = materialize(buckets.join(F.broadcast(shared) if few else shared, "bucket"))
+    nodes = materialize(members.select("node").distinct())
     wanted = materialize(
         classes.join(nodes, "node", "left_semi").select("node", F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"))
     )
@@ -166,27 +169,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         same_document(identified(docs), wanted, "inner", wanted.count()).select("node", "_text").dropDuplicates(["node"])
     )
 
-    def similar(of: DataFrame) -> DataFrame:
-        found = overlaps(of, texts, shingle_sets, parts)
-        return found.withColumn("s", F.col("common") / (F.col("nx") + F.col("ny") - F.col("common")))
+    def tried(pairs: DataFrame) -> DataFrame:
+        found = overlaps(pairs, texts, shingle_sets, parts)
+        return materialize(found.select("x", "y", (F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("s")))
 
-    first = materialize(similar(pairs).select("x", "y", "s"))
-    # What failed in its bucket meets the rest of the bucket, as far as |d(x, y) - d(m, y)| leaves it open.
-    own = members.join(first, (members.node == first.x) & (members.y == first.y), "left").select(
-        "bucket", "node", F.coalesce("s", F.lit(1.0)).alias("s"), (members.node == members.y).alias("leads")
-    )
-    failed = own.where((F.col("s") < similarity)).select("bucket", F.col("node").alias("x"), F.col("s").alias("sx"))
-    rest = own.where(~F.col("leads")).select("bucket", F.col("node").alias("m"), F.col("s").alias("sm"))
-    open_ = (F.col("sx") - F.col("sm")).between(similarity - 1 - 1e-9, 1 - similarity + 1e-9)
-    again = materialize(
-        failed.join(rest, "bucket")
-        .where((F.col("x") != F.col("m")) & open_ & ((F.col("sm") >= similarity) | (F.col("x") > F.col("m"))))
-        .select("x", F.col("m").alias("y"))
-        .distinct()
-        .join(pairs, ["x", "y"], "left_anti")
-    )
-    links = first.unionByName(similar(again).select("x", "y", "s")).where(F.col("s") >= similarity)
-    roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    # Leaders of a bucket: the member of the fullest buckets, which stands in the middle of a family, and a random one.
+    central = members.groupBy("node").agg(F.sum("_n").alias("_c"))
+    ranked = materialize(members.join(central, "node").select("bucket", "node", "_c"))
+    first = _led(ranked, F.struct(-F.col("_c"), "node")).unionByName(_led(ranked, F.struct(F.xxhash64("node", "bucket"), "node")))
+    links = tried(materialize(first.select("x", "y").distinct()))
+    roots = _roots(links, similarity)
+    for turn in range(TURNS):
+        open_ = materialize(_open(ranked, roots))
+        more = _led(open_, F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node")).where(F.col("lx") != F.col("ly"))
+        more = materialize(more.select("x", "y").distinct().join(links, ["x", "y"], "left_anti"))
+        if more.isEmpty():
+            break
+        links = links.unionByName(tried(more))
+        roots = _roots(links, similarity)
+    # What shares a bucket and is still apart meets in full, inside tasks: only links become rows.
+    open_ = materialize(_open(ranked, roots))
+    if not open_.isEmpty():
+        links = links.unionByName(materialize(_block_links(open_, texts, similarity)))
+        roots = _roots(links, similarity)
     grouped = (
         classes.select("c1", "c2", "node", "rep", "copies")
         .join(roots, "node", "left")
@@ -207,6 +212,76 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
 
 
+def _led(members: DataFrame, rank: Column) -> DataFrame:
+    """Each member of a bucket with the leader of smallest ``rank``; labels too if there are any."""
+    label = [F.col("label").alias("l")] if "label" in members.columns else []
+    best = members.groupBy("bucket").agg(F.min_by(F.struct("node", *label), rank).alias("_b"))
+    met = members.join(best, "bucket").where(F.col("node") != F.col("_b.node"))
+    pair = [F.col("node").alias("x"), F.col("_b.node").alias("y")]
+    return met.select(*pair, *([F.col("label").alias("lx"), F.col("_b.l").alias("ly")] if label else []))
+
+
+def _block_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links that join labels, among all pairs of a bucket with other labels; buckets are cut into blocks that meet in pairs."""
+    counts = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
+    own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
+    rows = (
+        members.join(counts, "bucket")
+        .join(texts, "node")
+        .withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        .withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+        .select("bucket", "_i", "_j", "_own", "node", "label", "_text")
+    )
+
+    def meet(group: pa.Table) -> pa.Table:
+        row, member = shingle_sets(group.column("_text").combine_chunks())
+        node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+        own, i, j = group.column("_own").to_numpy(), group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
+        at = np.searchsorted(row, np.arange(group.num_rows + 1))
+        size = np.diff(at)
+        order = np.argsort(member, kind="stable")
+        value, holder = member[order], row[order]
+        joined: dict[int, int] = {}
+
+        def root(a: int) -> int:
+            while joined.setdefault(a, a) != a:
+                joined[a] = joined[joined[a]]
+                a = joined[a]
+            return a
+
+        xs, ys, s = [], [], []
+        for x in np.flatnonzero(own == i):
+            mine = member[at[x] : at[x + 1]]
+            lo, hi = np.searchsorted(value, mine, "left"), np.searchsorted(value, mine, "right")
+            n = hi - lo
+            hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(holder[hit], minlength=group.num_rows)
+            alike = common >= similarity * (size[x] + size - common) - 1e-12
+            for y in np.flatnonzero(alike & (label != label[x]) & (own == j)):
+                a, b = root(int(label[x])), root(int(label[y]))
+                if a != b:
+                    joined[a] = b
+                    xs.append(int(node[x]))
+                    ys.append(int(node[y]))
+                    s.append(float(common[y] / (size[x] + size[y] - common[y])))
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64()), "s": pa.array(s, pa.float64())})
+
+    return rows.groupBy("bucket", "_i", "_j").applyInArrow(meet, "x long, y long, s double")
+
+
+def _roots(links: DataFrame, similarity: float) -> DataFrame:
+    return components(links.where(F.col("s") >= similarity).select(F.col("x").alias("u"), F.col("y").alias("v")))
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their label so far, of buckets that hold more than one label."""
+    own = members.select("bucket", "node").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    own = own.select("bucket", "node", "label")
+    split = own.groupBy("bucket").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
+    return own.join(split.select("bucket"), "bucket")
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one document of each cluster, all columns as they were."""
     verdict = materialize(near_duplicates(docs, similarity).where(~F.col("kept")).select("_id", "_th").distinct())
