@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import host_rules, license_automaton, line_join, mixing, pieces, probminhash, toxicity
+from trackloom.llm import fixity, host_rules, license_automaton, line_join, mixing, pieces, probminhash, toxicity
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_warc_fixity", fixity.oracle())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audited(table(spark, sf_dir, "pages"))
