@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import fixity, host_rules, license_automaton, line_join, mixing, pieces, probminhash, projection_pairs, toxicity
+from trackloom.llm import fixity, host_rules, license_automaton, line_join, mixing, pieces, probminhash, projection_pairs, secret_forest, toxicity
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_embedding_near_dedup", projection_pairs.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_pairs.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.report(table(spark, sf_dir, "documents"))
