@@ -283,12 +283,18 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with one document of each cluster, all columns as they were."""
-    verdict = materialize(near_duplicates(docs, similarity).where(~F.col("kept")).select("_id", "_th").distinct())
+    """The rows of ``docs`` with one document of each cluster, all columns as they were; of rows equal in id and text one stays."""
+    found = materialize(near_duplicates(docs, similarity).groupBy("_id", "_th").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("_n")))
+    gone = materialize(found.where("not kept").select("_id", "_th"))
+    twice = materialize(found.where("kept and _n > 1").select("_id", "_th"))
     whole = docs.select(
         F.col("doc_id").cast("long").alias("_id"),
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
     )
-    kept = same_document(whole, verdict, "left_anti", verdict.count())
+    kept = same_document(whole, gone, "left_anti", gone.count())
+    n = twice.count()
+    if n:
+        once = same_document(kept, twice, "left_semi", n).dropDuplicates(["_id", "_th"])
+        kept = same_document(kept, twice, "left_anti", n).unionByName(once)
     return kept.select("_doc.*")
