@@ -65,7 +65,7 @@ def test_alignment_duplicates_and_missing(spark):
     labels = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "sample_id string, label int")
     got = {r["sample_id"]: r for r in evaluate.align(scores, labels, ["m"]).collect()}
     assert got["a"]["label"] == 1 and got["a"]["score"] == 0.6
-    assert got["b"]["score"] == pytest.approx(0.6 - 1.0)
+    assert got["b"]["score"] == float("-inf")
     report_row = evaluate.alignment_report(scores, labels).first().asDict()
     assert report_row == {
         "num_label_rows": 3,
@@ -378,6 +378,13 @@ def test_convergence_and_labels(spark):
     )
     got = {r["run"]: (r["best_epoch"], r["epochs_since_best"], r["status"]) for r in report.convergence(history, 7).collect()}
     assert got == {"a": (2, 5, "converged"), "b": (2, 0, "early-stopped")}
+    nan, inf = float("nan"), float("inf")
+    broken = spark.createDataFrame(
+        [("a", 1, 1.0), ("a", 2, 0.5), ("a", 3, nan), ("b", 1, nan), ("b", 2, None), ("c", 1, 2.0), ("c", 2, -inf), ("c", 3, inf)],
+        "run string, epoch int, value double",
+    )
+    got = {r["run"]: (r["final_epoch"], r["best_epoch"], r["status"]) for r in report.convergence(broken, 3).collect()}
+    assert got == {"a": (3, 2, "max-budget-not-converged"), "b": (2, None, "no-loss-history"), "c": (3, 1, "max-budget-not-converged")}
     words = spark.createDataFrame([(w,) for w in ["1", " Yes", "ABNORMAL", "0.0", "neg", "2", "maybe"]], "w string")
     assert [r[0] for r in words.select(report.binary_label(F.col("w"))).collect()] == [1, 1, 1, 0, 0, None, None]
 

@@ -25,6 +25,15 @@ CHECKED = [
     "trimmed_chamfer_distance",
     "jsonl_windows",
     "stream_track_changes",
+    "frame_mass",
+    "playback_stats",
+    "convergence",
+    "infer_level",
+    "padded_centers",
+    "point_lists",
+    "bounded_training_sample",
+    "auroc",
+    "best_f1",
 ]
 
 
@@ -45,12 +54,8 @@ def test_entry_and_registry(spark):
 
 
 def test_stream_equals_batch(spark, sf):
-    from pyspark.sql import functions as F
-
     from trackloom.streaming import live
 
     batch = live.window_coverage(live.stream_points(spark.read.parquet(f"{sf}/events.parquet")), late=None)
-    streamed = live.run_to_table(live.window_coverage(live.event_stream(spark, sf)))
-    newest = streamed.agg(F.max("window_end")).first()[0]
-    closed = batch.where(F.col("window_end") <= F.lit(newest))
-    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, closed.collect())) != []
+    streamed = live.finished_coverage(spark, sf)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect())) != []

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.detectors import BEHAVIOUR_COLUMNS, lof_scores, nearest_profile_scores
@@ -20,7 +20,6 @@ from trackloom.session import materialize
 
 TREES = 100
 TREE_ROWS = 256
-POOL_ROWS = 8192
 EULER = 0.5772156649015329
 
 SUBSPACES = BEHAVIOUR_COLUMNS
@@ -39,14 +38,22 @@ def isolation_forest(
 ) -> DataFrame:
     """Isolation forest anomaly score (0..1) of query vectors.
 
-    Each tree is grown by one task on its own ``rows`` training rows, drawn by hash
-    from a bounded pool; the forest (trees * 2 * rows nodes at most) is shipped to
+    Each tree is grown by one task on its own ``rows`` training rows: those of smallest
+    hash of tree and id among all rows.  A cut that leaves about four times as many goes
+    before the shuffle.  The forest (trees * 2 * rows nodes at most) is shipped to
     the tasks that score the queries batch by batch.
     """
-    pool = train.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(POOL_ROWS)
-    size = min(rows, pool.count())
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "id"), "id")
+    total = train.count()
+    size = min(rows, total)
+    span = 1 << 40
+    cut = F.lit(span if total <= 4 * rows else int(span * 4 * rows / total))
+
+    def draw(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), tree, F.col("id")), F.lit(span))
+
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < cut)
+    drawn = train.withColumn("tree", F.explode(mine))
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "id")
     drawn = drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
     limit = int(np.ceil(np.log2(max(size, 2))))
 

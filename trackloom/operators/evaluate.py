@@ -80,8 +80,8 @@ def require_strict_keys(report: DataFrame) -> DataFrame:
 def align(scores: DataFrame, labels: DataFrame, methods: Sequence[str], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     """One row per (method, label key): largest label and score.
 
-    A key without a score ranks below every scored key of its method (min - 1).
-    ``methods`` is the short list of methods in ``scores``.
+    A key without a score, or with NaN only, scores minus infinity; infinite scores keep their
+    place.  ``methods`` is the short list of methods in ``scores``.
     """
     keys = list(keys)
     truth = (
@@ -89,17 +89,12 @@ def align(scores: DataFrame, labels: DataFrame, methods: Sequence[str], keys: Se
         .agg(F.max(F.col("label").cast("int")).alias("label"))
         .withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     )
-    finite = ~F.isnan("score") & (F.abs("score") < F.lit(float("inf")))
-    best = scores.groupBy("method", *keys).agg(F.max("score").alias("score"))
-    aligned = truth.join(best, ["method", *keys], "left")
-    floor = aligned.groupBy("method").agg(F.min(F.when(finite, F.col("score"))).alias("_low"))
-    return aligned.join(F.broadcast(floor), "method").select(
+    best = scores.groupBy("method", *keys).agg(F.max(F.when(~F.isnan("score"), F.col("score"))).alias("score"))
+    return truth.join(best, ["method", *keys], "left").select(
         "method",
         *keys,
         F.when(F.col("label") > 0, F.lit(1)).otherwise(F.lit(0)).alias("label"),
-        F.when(F.col("score").isNotNull() & finite, F.col("score"))
-        .otherwise(F.coalesce(F.col("_low") - 1.0, F.lit(0.0)))
-        .alias("score"),
+        F.coalesce("score", F.lit(float("-inf"))).alias("score"),
     )
 
 

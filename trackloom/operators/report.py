@@ -186,7 +186,10 @@ def report_table(summary: DataFrame, metrics: list[str], digits: int = 4) -> Dat
 
 
 # Words that give away the level of a method.
-LEVEL_TOKENS = {"individual": ("individual",), "group": ("group",)}
+LEVEL_TOKENS = {
+    "individual": ("individual", "person", "single"),
+    "group": ("group", "graph", "collective", "team"),
+}
 
 
 def infer_level(task: Column, method: Column, source: Column) -> Column:
@@ -230,15 +233,20 @@ def sequence_mass(scores: DataFrame) -> DataFrame:
     )
 
 
-def top_tracks(scores: DataFrame, n: int = 80) -> DataFrame:
-    """The n best-scored tracks of every sequence."""
+def top_tracks(scores: DataFrame, n: int | None = None) -> DataFrame:
+    """The n best-scored tracks of every sequence with their rank (all of them without n)."""
     w = Window.partitionBy("sequence").orderBy(F.col("score").desc(), "sample_id")
+    if n is None:
+        from trackloom.operators.scale import row_positions
+
+        placed = row_positions(scores, ["sequence"], [("score", False), ("sample_id", True)], out="rank")
+        return placed.select(*scores.columns, (F.col("rank") + 1).cast("int").alias("rank"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def frame_mass(points: DataFrame, scores: DataFrame, n: int = 80) -> DataFrame:
-    """Score mass per frame of the n best tracks of each sequence."""
-    best = top_tracks(scores, n).select("sample_id", "score")
+def frame_mass(points: DataFrame, scores: DataFrame, n: int | None = None) -> DataFrame:
+    """Score mass per frame of all tracks of each sequence, or of the n best."""
+    best = (scores if n is None else top_tracks(scores, n)).select("sample_id", "score")
     mine = points.join(best, "sample_id")
     sized = mine.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
     return (
@@ -248,8 +256,8 @@ def frame_mass(points: DataFrame, scores: DataFrame, n: int = 80) -> DataFrame:
     )
 
 
-def playback_stats(steps: DataFrame, scores: DataFrame, n: int = 80) -> DataFrame:
-    """Path, speed, confidence and offset figures of the n best tracks per sequence.
+def playback_stats(steps: DataFrame, scores: DataFrame, n: int | None = None) -> DataFrame:
+    """Path, speed, confidence and offset figures of all tracks, or of the n best per sequence.
 
     ``scores`` has sample_id, sequence, score, used_sources.
     """
@@ -321,12 +329,14 @@ def modality_audit(observations: DataFrame) -> DataFrame:
 def convergence(history: DataFrame, requested: int, patience: int = 5, min_delta: float = 1e-3) -> DataFrame:
     """Best epoch, epochs since and status of every run; ``history`` has run, epoch, value.
 
-    An epoch improves when it beats the best so far by both the relative and the
-    absolute delta.  A run has at most ``requested`` epochs, so its ordered values
-    fit one array.
+    An epoch improves when it beats the best so far by both the relative and the absolute delta.  Only finite values count for the
+    best; the final epoch is that of all rows, and a run without a finite value has the status
+    ``no-loss-history``.  A run's epochs are numbered, and ``requested`` bounds them.
     """
-    usable = history.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    runs = usable.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("epoch", "value"))).alias("_h"))
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    runs = history.groupBy("run").agg(
+        F.sort_array(F.collect_list(F.when(finite, F.struct("epoch", "value")))).alias("_h"), F.max("epoch").alias("final_epoch")
+    )
     start = F.struct(F.get("_h", F.lit(0))["epoch"].alias("epoch"), F.get("_h", F.lit(0))["value"].alias("value"))
 
     def fold(best, row):
@@ -335,9 +345,7 @@ def convergence(history: DataFrame, requested: int, patience: int = 5, min_delta
             row["value"] < target, F.struct(row["epoch"].alias("epoch"), row["value"].alias("value"))
         ).otherwise(best)
 
-    best = F.aggregate("_h", start, fold)
-    last = F.element_at("_h", -1)["epoch"]
-    table = runs.select("run", best.alias("_b"), last.alias("final_epoch"))
+    table = runs.select("run", "final_epoch", F.aggregate("_h", start, fold).alias("_b"), (F.size("_h") == 0).alias("_none"))
     since = F.col("final_epoch") - F.col("_b.epoch")
     return table.select(
         "run",
@@ -345,13 +353,13 @@ def convergence(history: DataFrame, requested: int, patience: int = 5, min_delta
         F.col("_b.epoch").alias("best_epoch"),
         F.col("_b.value").alias("best_value"),
         since.alias("epochs_since_best"),
-        F.when(F.col("final_epoch") < requested, F.lit("early-stopped"))
+        F.when(F.col("_none"), F.lit("no-loss-history"))
+        .when(F.col("final_epoch") < requested, F.lit("early-stopped"))
         .when(since >= patience, F.lit("converged"))
         .otherwise(F.lit("max-budget-not-converged"))
         .alias("status"),
     )
 
-
 def summarize_top(rows: DataFrame, by: str, k: int) -> DataFrame:
     """Among the k best mean scores: count and mean scores per group."""
     best = rows.orderBy(F.col("mean_score").desc(), "sample_id").limit(k)

@@ -82,10 +82,10 @@ def sample_by_hash(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") ->
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(n)
 
 
-def pca_reduce(vectors: DataFrame, dims: int, fit_rows: int = 2**14, seed: int = 42) -> DataFrame:
-    """Project to the leading principal components fitted on a bounded sample."""
+def pca_reduce(vectors: DataFrame, dims: int) -> DataFrame:
+    """Project to the leading principal components of all vectors."""
     as_vectors = vectors.withColumn("_v", array_to_vector("vector"))
-    model = PCA(k=dims, inputCol="_v", outputCol="_p").fit(sample_by_hash(as_vectors, fit_rows, seed))
+    model = PCA(k=dims, inputCol="_v", outputCol="_p").fit(as_vectors)
     return model.transform(as_vectors).select("id", vector_to_array("_p").alias("vector"))
 
 

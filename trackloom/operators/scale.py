@@ -184,9 +184,18 @@ def dense_position(
 
 # --------------------------------------------------------------------------- order statistics
 def value_bucket(value: Column, resolution: int = BUCKETS_PER_E) -> Column:
-    """A weakly monotone integer bucket of a double, a fraction of a percent wide."""
+    """A weakly monotone integer bucket of a double, a fraction of a percent wide.
+
+    Infinities lie beyond all numbers and NaN beyond infinity, as in Spark's own order.
+    """
     magnitude = F.floor(F.log1p(F.abs(value) * F.lit(1e6)) * F.lit(float(resolution)))
-    return (F.signum(value) * magnitude).cast("long")
+    edge = 2**62
+    return (
+        F.when(F.isnan(value), F.lit(edge + 1))
+        .when(value == float("inf"), F.lit(edge))
+        .when(value == float("-inf"), F.lit(-edge))
+        .otherwise((F.signum(value) * magnitude).cast("long"))
+    )
 
 
 def percentiles(
@@ -195,7 +204,7 @@ def percentiles(
     wanted: Mapping[str, tuple[str, Quantile]],
     cold_rows: int | None = COLD_ROWS,
 ) -> DataFrame:
-    """Exact linearly interpolated percentiles per key; nulls are ignored.
+    """Exact linearly interpolated percentiles per key; nulls are ignored, NaN is the largest value.
 
     ``wanted`` maps an output name to ``(column, q)``; instead of a share ``q`` may
     be a function of the number of values that gives the 0-based position.  Keys of at most
@@ -301,7 +310,7 @@ def bucketed_percentiles(
         lo = F.max(F.when((F.col("_t.out") == out) & (F.col("_t.side") == "lo"), F.col("_v")))
         hi = F.max(F.when((F.col("_t.out") == out) & (F.col("_t.side") == "hi"), F.col("_v")))
         frac = F.max(F.when(F.col("_t.out") == out, F.col("_t.frac")))
-        outputs.append((lo + (hi - lo) * frac).alias(out))
+        outputs.append(F.when(lo == hi, lo).otherwise(lo * (1 - frac) + hi * frac).alias(out))
     return hits.groupBy(*keys).agg(*outputs)
 
 

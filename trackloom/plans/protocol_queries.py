@@ -185,11 +185,11 @@ def sequence_split_by_quota(spark, sf):
 
 @query(
     "bounded_training_sample",
-    select("sample_id", "trk", [*sql.POINTS, "trk AS (SELECT DISTINCT sample_id FROM fused)"], "ORDER BY md5('42:' || sample_id), sample_id LIMIT 25000"),
+    select("sample_id", "trk", [*sql.POINTS, "trk AS (SELECT DISTINCT sample_id FROM fused)"], "ORDER BY md5('42:' || sample_id), sample_id LIMIT 12"),
 )
 def bounded_training_sample(spark, sf):
     tracks = points(spark, sf).select("sample_id").distinct()
-    return protocol.holdout_sample(tracks, 25_000)
+    return protocol.holdout_sample(tracks, 12)
 
 
 @query(

@@ -279,7 +279,7 @@ def sequence_mass(spark, sf):
     return report.sequence_mass(track_scores(spark, sf))
 
 
-_TOP80 = """top80 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY score DESC, sample_id) AS rank, max(score) OVER (PARTITION BY sequence) AS top FROM ind) r WHERE rank <= 80)"""
+_TOP80 = """top80 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY score DESC, sample_id) AS rank, max(score) OVER (PARTITION BY sequence) AS top FROM ind) r)"""
 
 
 @query(
@@ -328,14 +328,32 @@ def modality_audit(spark, sf):
     return report.modality_audit(observations(spark, sf))
 
 
-@query("convergence")
+@query(
+    "convergence",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS epoch,
+      CASE WHEN o_orderkey % 4 = 0 OR o_custkey % 17 = 0 THEN NULL ELSE o_totalprice::DOUBLE END AS value FROM orders),
+    l AS (SELECT run, max(epoch) AS final_epoch FROM o GROUP BY run),
+    f AS (SELECT run, epoch, value, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM o WHERE value IS NOT NULL),
+    b AS (SELECT run, i, epoch AS be, value AS bv FROM f WHERE i = 1
+      UNION ALL SELECT b.run, f.i, CASE WHEN f.value < least(bv * 0.999, bv - 0.001) THEN f.epoch ELSE be END,
+        CASE WHEN f.value < least(bv * 0.999, bv - 0.001) THEN f.value ELSE bv END FROM b JOIN f ON f.run = b.run AND f.i = b.i + 1),
+    e AS (SELECT run, max_by(be, i) AS be, max_by(bv, i) AS bv FROM b GROUP BY run)
+    SELECT l.run, final_epoch, be AS best_epoch, round(bv, 6) + 0.0 AS best_value, final_epoch - be AS epochs_since_best,
+      CASE WHEN be IS NULL THEN 'no-loss-history' WHEN final_epoch < 12 THEN 'early-stopped' WHEN final_epoch - be >= 5 THEN 'converged'
+        ELSE 'max-budget-not-converged' END AS status FROM l LEFT JOIN e USING (run)""",
+)
 def convergence(spark, sf):
-    """Order totals of a customer, in order of date, stand for a loss log."""
+    """Order totals of a customer, in order of date, stand for a loss log; a quarter are not finite, some logs have none that is."""
     from trackloom.operators.scale import row_positions
     from trackloom.sources.tables import read_table
 
     orders = read_table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("run"), "o_orderkey", "o_orderdate", F.col("o_totalprice").alias("value")
+        F.col("o_custkey").alias("run"),
+        "o_orderkey",
+        "o_orderdate",
+        F.when((F.col("o_orderkey") % 4 == 0) | (F.col("o_custkey") % 17 == 0), F.when(F.col("o_orderkey") % 8 == 0, float("nan")).otherwise(float("-inf")))
+        .otherwise(F.col("o_totalprice").cast("double"))
+        .alias("value"),
     )
     placed = row_positions(orders, ["run"], [("o_orderdate", True), ("o_orderkey", True)])
     return report.convergence(placed.select("run", (F.col("position") + 1).cast("int").alias("epoch"), "value"), 12)
@@ -764,15 +782,34 @@ def neighbourhood_loss(spark, sf):
     "infer_level",
     select(
         """DISTINCT event_type AS method, sequence AS task,
-        CASE WHEN event_type = 'view' THEN 'individual' WHEN event_type = 'click' THEN 'group' END AS level""",
+        CASE sequence WHEN 's0' THEN 'individual' WHEN 's1' THEN 'group' WHEN 's2' THEN 'individual' WHEN 's3' THEN 'group'
+          WHEN 's4' THEN 'group' WHEN 's5' THEN NULL WHEN 's6' THEN CASE WHEN event_type = 'view' THEN 'individual' WHEN event_type = 'click' THEN 'group' END
+          WHEN 's7' THEN 'individual' END AS level""",
         "(SELECT event_type, 's' || (user_id % 8) AS sequence FROM events) e",
         [],
     ),
 )
 def infer_level(spark, sf):
-    """Event kinds stand for methods: view is individual, click is group, the rest unknown."""
+    """Every word of either level, in task, method or source, alone and against each other."""
     raw = raw_detections(spark, sf).select(F.col("category_name").alias("method"), F.col("sequence").alias("task")).distinct()
-    named = F.when(F.col("method") == "view", F.lit("x_individual_y")).when(F.col("method") == "click", F.lit("group_a")).otherwise(
+    words = {
+        "s0": ("x", "person_speed", "a"),
+        "s1": ("x", "graph_rules", "a"),
+        "s2": ("x", "single_knn", "a\\b"),
+        "s3": ("x", "team_score", "a"),
+        "s4": ("x", "m", "runs\\collective\\a.csv"),
+        "s5": ("x", "person_team", "a"),
+        "s7": ("new_individual", "graph_a", "a"),
+    }
+    by_method = F.when(F.col("method") == "view", F.lit("x_individual_y")).when(F.col("method") == "click", F.lit("group_a")).otherwise(
         F.col("method")
     )
-    return raw.select("method", "task", report.infer_level(F.col("task"), named, F.lit("a\\b")).alias("level"))
+
+    def part(i, rest):
+        out = rest
+        for task, named in words.items():
+            out = F.when(F.col("task") == task, F.lit(named[i])).otherwise(out)
+        return out
+
+    level = report.infer_level(part(0, F.lit("x")), part(1, by_method), part(2, F.lit("a")))
+    return raw.select("method", "task", level.alias("level"))

@@ -141,27 +141,34 @@ def token_vocabulary(spark, sf):
 @query(
     "padded_centers",
     select(
-        "sample_id, pos - 1 AS slot, ~CASE WHEN pos % 2 = 1 THEN xs[least((pos + 1) // 2, len(xs))] ELSE ys[least((pos + 1) // 2, len(ys))] END AS value",
-        "(SELECT *, unnest(generate_series(1, 96)) AS pos FROM (SELECT sample_id, list(cx ORDER BY frame_id) AS xs, list(cy ORDER BY frame_id) AS ys FROM fused GROUP BY sample_id) l) p",
+        "sample_id, len(xs) AS length, len(xs) > 12 AS truncated, pos - 1 AS slot, ~CASE WHEN pos % 2 = 1 THEN xs[least((pos + 1) // 2, len(xs))] ELSE ys[least((pos + 1) // 2, len(ys))] END AS value",
+        "(SELECT *, unnest(generate_series(1, 24)) AS pos FROM (SELECT sample_id, list(cx ORDER BY frame_id) AS xs, list(cy ORDER BY frame_id) AS ys FROM fused GROUP BY sample_id) l) p",
         sql.POINTS,
     ),
 )
 def padded_centers(spark, sf):
-    rows = sinks.padded_centers(points(spark, sf), 48)
-    return rows.select("sample_id", F.posexplode("values").alias("slot", "value")).withColumn("slot", F.col("slot").cast("long"))
+    rows = sinks.padded_centers(points(spark, sf), 12)
+    return rows.select("sample_id", "length", "truncated", F.posexplode("values").alias("slot", "value")).withColumn("slot", F.col("slot").cast("long"))
 
 
 # ------------------------------------------------------------------ streams
-@query("stream_window_coverage")
+@query(
+    "stream_window_coverage",
+    """WITH e AS (SELECT ts, 's' || (user_id % 8) AS sequence, event_id % 7 <> 0 AS rgb, event_id % 5 <> 0 AS th FROM events),
+    w AS (SELECT *, unnest([d, d - 4]) AS day FROM (SELECT *, (epoch(ts) // 345600 * 4)::BIGINT AS d FROM e WHERE rgb OR th) p)
+    SELECT make_timestamptz(day * 86400000000) AS window_start, make_timestamptz((day + 8) * 86400000000) AS window_end, sequence, count(*) AS points,
+      count(*) FILTER (rgb AND th) AS paired_points, count(*) FILTER (rgb AND NOT th) AS rgb_only_points, count(*) FILTER (NOT rgb AND th) AS thermal_only_points
+    FROM w GROUP BY ALL""",
+)
 def stream_window_coverage(spark, sf):
-    return live.run_to_table(live.window_coverage(live.event_stream(spark, sf)))
+    return live.finished_coverage(spark, sf)
 
 
 @query(
     "stream_track_changes",
     select(
         """sample_id, event_id, ~coalesce(step, 0) AS step, ~CASE WHEN base IS NULL THEN 0 WHEN base <= 0 THEN abs(step - base) ELSE abs(step / base - 1) END AS change""",
-        """(SELECT *, median(step) OVER (PARTITION BY sample_id ORDER BY event_id ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS base FROM
+        """(SELECT *, median(step) OVER (PARTITION BY sample_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM
             (SELECT *, sqrt((cx - lag(cx) OVER t)^2 + (cy - lag(cy) OVER t)^2) AS step FROM
               (SELECT sample_id, event_id, CASE WHEN rgb_cx IS NOT NULL AND thermal_cx IS NOT NULL THEN (rgb_cx + thermal_cx) / 2 ELSE coalesce(rgb_cx, thermal_cx) END AS cx,
                       CASE WHEN rgb_cy IS NOT NULL AND thermal_cy IS NOT NULL THEN (rgb_cy + thermal_cy) / 2 ELSE coalesce(rgb_cy, thermal_cy) END AS cy
@@ -286,14 +293,15 @@ def holdout_protocol(spark, sf):
 @query(
     "point_lists",
     select(
-        "vec_id, 3 AS num_points, ~embedding[4]::DOUBLE AS second_x",
+        "vec_id, 21 AS num_points, ~embedding[4]::DOUBLE AS second_x, ~list_sum(embedding[1:63]::DOUBLE[]) AS total",
         "embeddings",
         [],
     ),
 )
 def point_lists(spark, sf):
-    """The first nine components as a JSON list of three points, read back."""
+    """All components but the last as a JSON list of points, read back; the last alone is no point."""
     e = read_table(spark, sf, "embeddings")
-    triples = F.array(*[F.slice(F.col("embedding").cast("array<double>"), 1 + 3 * i, 3) for i in range(3)])
+    triples = F.array(*[F.slice(F.col("embedding").cast("array<double>"), 1 + 3 * i, 3) for i in range(22)])
     found = readers.coerce_points(F.to_json(triples))
-    return e.select("vec_id", F.size(found).alias("num_points"), found[1]["x"].alias("second_x"))
+    total = F.aggregate(found, F.lit(0.0), lambda a, p: a + p["x"] + p["y"] + p["z"])
+    return e.select("vec_id", F.size(found).alias("num_points"), found[1]["x"].alias("second_x"), total.alias("total"))

@@ -31,14 +31,16 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "trackl
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made
-    and removed again when the process ends.
+    Only a local session that names none (tests) gets a temporary folder, removed
+    again when the process ends; elsewhere executors could not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     global _LOCAL_DIR
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="spark-")

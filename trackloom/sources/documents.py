@@ -11,9 +11,20 @@ from trackloom.operators.scale import CHUNK_FRAMES
 def assemble_tracks(observations: DataFrame, part_frames: int = CHUNK_FRAMES) -> DataFrame:
     """Track documents with points sorted by frame.
 
-    A document holds at most ``part_frames`` frames: a longer track becomes
-    several documents, told apart by ``part`` (0 for almost every track).
+    A document holds at most ``part_frames`` frames: a longer track becomes several
+    documents, told apart by ``part`` and counted by ``parts``.  The visible frames and
+    the category of every document are those of the whole track, so any part describes
+    it; the points of all parts in order of ``part`` are its points.
     """
+    track = ["sample_id", "sequence", "track_id"]
+    part = F.floor(F.col("frame_id") / part_frames).cast("long")
+    whole = observations.groupBy(*track).agg(
+        F.count("rgb_cx").alias("visible_rgb_frames"),
+        F.count("thermal_cx").alias("visible_thermal_frames"),
+        F.count(F.when(F.col("rgb_cx").isNotNull() | F.col("thermal_cx").isNotNull(), 1)).alias("visible_any_frames"),
+        F.min_by("category_name", "frame_id").alias("category_name"),
+        F.count_distinct(part).alias("parts"),
+    )
     point = F.struct(
         "frame_id",
         F.when(F.col("rgb_cx").isNotNull(), F.struct(F.col("rgb_cx").alias("x"), F.col("rgb_cy").alias("y"))).alias("rgb"),
@@ -22,19 +33,10 @@ def assemble_tracks(observations: DataFrame, part_frames: int = CHUNK_FRAMES) ->
             F.struct(F.col("thermal_cx").alias("x"), F.col("thermal_cy").alias("y")),
         ).alias("thermal"),
     )
-    return (
-        observations.withColumn("part", F.floor(F.col("frame_id") / part_frames).cast("long"))
-        .groupBy("sample_id", "sequence", "track_id", "part")
-        .agg(
-            F.sort_array(F.collect_list(point)).alias("points"),
-            F.count("rgb_cx").alias("visible_rgb_frames"),
-            F.count("thermal_cx").alias("visible_thermal_frames"),
-            F.count(F.when(F.col("rgb_cx").isNotNull() | F.col("thermal_cx").isNotNull(), 1)).alias(
-                "visible_any_frames"
-            ),
-            F.min_by("category_name", "frame_id").alias("category_name"),
-        )
+    points = (
+        observations.withColumn("part", part).groupBy(*track, "part").agg(F.sort_array(F.collect_list(point)).alias("points"))
     )
+    return points.join(whole, track)
 
 
 def assemble_windows(states: DataFrame, part_objects: int = 1024) -> DataFrame:

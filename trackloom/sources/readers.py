@@ -326,11 +326,8 @@ def read_image_places(spark: SparkSession, path: str, pattern: str = "*.jpg") ->
     return files.select("path", parts[1].cast("double").alias("x"), parts[2].cast("double").alias("y"))
 
 
-def coerce_points(value: Column, limit: int = 256) -> Column:
-    """A JSON list of triples as finite (x, y, z) points, the first ``limit`` of them.
-
-    The limit is the reader's preview size, as in the reporting bundle it feeds.
-    """
+def coerce_points(value: Column, limit: int | None = None) -> Column:
+    """A JSON list of triples as finite (x, y, z) points; a preview asks for the first ``limit`` of them."""
     triples = F.from_json(value, "array<array<double>>")
     shaped = F.transform(triples, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"), F.get(p, F.lit(2)).alias("z")))
 
@@ -338,4 +335,5 @@ def coerce_points(value: Column, limit: int = 256) -> Column:
         each = [p[a].isNotNull() & ~F.isnan(p[a]) & (F.abs(p[a]) < float("inf")) for a in ("x", "y", "z")]
         return each[0] & each[1] & each[2]
 
-    return F.slice(F.filter(shaped, good), 1, limit)
+    points = F.filter(shaped, good)
+    return points if limit is None else F.slice(points, 1, limit)

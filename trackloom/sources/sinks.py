@@ -55,17 +55,20 @@ def trajectory_ids(points: DataFrame) -> DataFrame:
 
 
 def padded_centers(points: DataFrame, size: int) -> DataFrame:
-    """The first ``size`` centres per track as one flat list, the last one repeated.
+    """The first ``size`` centres per track as one flat list, the last one repeated; ``length`` and ``truncated`` tell what was cut.
 
-    ``size`` is the model's input width; the row_number filter prunes before the
-    shuffle.
+    ``size`` is the model's input width; the row_number filter prunes before the shuffle.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("sample_id").orderBy("frame_id")
     head = points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size)
+    sizes = points.groupBy("sample_id").agg(F.count(F.lit(1)).alias("length"))
     rows = head.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", "cx", "cy"))).alias("_p"))
     pad = F.array_repeat(F.element_at("_p", -1), F.greatest(F.lit(size) - F.size("_p"), F.lit(0)))
-    return rows.select(
-        "sample_id", F.flatten(F.transform(F.concat("_p", pad), lambda p: F.array(p["cx"], p["cy"]))).alias("values")
+    return rows.join(sizes, "sample_id").select(
+        "sample_id",
+        F.flatten(F.transform(F.concat("_p", pad), lambda p: F.array(p["cx"], p["cy"]))).alias("values"),
+        "length",
+        (F.col("length") > size).alias("truncated"),
     )

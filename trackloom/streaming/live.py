@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from bisect import insort
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -13,8 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackloom.session import shared_dir
 
-HISTORY = 16
-IDLE_MS = 7 * 24 * 3600 * 1000
+#: Time of the end mark of a finished stream.
+FAR = datetime(2999, 1, 1, tzinfo=timezone.utc)
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -76,52 +78,64 @@ STATE = "x double, y double, history array<double>"
 CHANGES = "sample_id string, event_id long, step double, change double"
 
 
-def step_changes(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Step from the track's last centre and its change against the recent steps.
+def step_changes(history: int | None = None, idle_ms: int | None = None):
+    """Step from the track's last centre and its change against the median of the earlier steps.
 
-    State per track: last centre and at most HISTORY steps; idle tracks expire.
+    State per track: the last centre and its earlier steps, or the last ``history`` of them if the caller
+    bounds the memory; with ``idle_ms`` of event time a silent track is forgotten.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    x, y, history = state.get if state.exists else (None, None, [])
-    history = list(history)
-    rows = pd.concat(list(batches)).sort_values("event_id")
-    steps, changes = [], []
-    for cx, cy in zip(rows["cx"], rows["cy"]):
-        step = 0.0 if x is None else float(np.hypot(cx - x, cy - y))
-        if x is None or not history:
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        x, y, past = state.get if state.exists else (None, None, [])
+        past = list(past)
+        rows = pd.concat(list(batches)).sort_values("event_id")
+        ordered = sorted(past)
+        steps, changes = [], []
+        for cx, cy in zip(rows["cx"], rows["cy"]):
+            step = 0.0 if x is None else float(np.hypot(cx - x, cy - y))
             change = 0.0
-        else:
-            base = float(np.median(history))
-            change = abs(step - base) if base <= 0 else abs(step / base - 1.0)
-        if x is not None:
-            history = [*history, step][-HISTORY:]
-        x, y = float(cx), float(cy)
-        steps.append(step)
-        changes.append(change)
-    state.update((x, y, history))
-    latest = int(rows["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
-    yield pd.DataFrame({"sample_id": key[0], "event_id": rows["event_id"], "step": steps, "change": changes})
-
-
-def track_changes(points: DataFrame, late: str = "1 day") -> DataFrame:
-    """Online step changes; a track idle for IDLE_MS of event time loses its state."""
+            if x is not None and ordered:
+                n = len(ordered)
+                base = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+                change = abs(step - base) if base <= 0 else abs(step / base - 1.0)
+            if x is not None:
+                past.append(step)
+                insort(ordered, step)
+                if history is not None and len(past) > history:
+                    ordered.remove(past.pop(0))
+            x, y = float(cx), float(cy)
+            steps.append(step)
+            changes.append(change)
+        state.update((x, y, past))
+        if idle_ms is not None:
+            latest = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame({"sample_id": key[0], "event_id": rows["event_id"], "step": steps, "change": changes})
+
+    return update
+
+
+def track_changes(points: DataFrame, late: str = "1 day", history: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Online step changes over all earlier steps of a track; see ``step_changes`` for bounds on the state."""
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
     return (
         points.withWatermark("ts", late)
         .select("sample_id", "event_id", "ts", "cx", "cy")
         .groupBy("sample_id")
-        .applyInPandasWithState(step_changes, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(step_changes(history, idle_ms), CHANGES, STATE, "append", timeout)
     )
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
-    """Run a stream over what is there now into a table of the shared folder and read it."""
+def run_to_table(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Run a stream over what is there now into a table of the shared folder and read it.
+
+    A second run with the same ``base`` goes on where the first one ended.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or _base(spark)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -132,3 +146,27 @@ def run_to_table(stream: DataFrame) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
+
+
+def _base(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def finished_coverage(spark: SparkSession, folder: str, **windows: str) -> DataFrame:
+    """``window_coverage`` of a stream that has ended, with the windows that were still open at its end.
+
+    The points flow together with a stream of end marks.  After the points a mark far in the future moves the watermark
+    past all windows, so a second run of the same query emits the rest; the mark's own windows stay open.
+    """
+    base = _base(spark)
+    points = event_stream(spark, folder)
+    marks = f"{base}/marks"
+    spark.createDataFrame([], points.schema).write.parquet(marks)
+    ends = spark.readStream.schema(points.schema).parquet(marks)
+    counted = window_coverage(points.unionByName(ends), **windows)
+    run_to_table(counted, base)
+    end = points.schema.fieldNames().index("ts")
+    row = [None] * len(points.schema)
+    row[end] = FAR
+    spark.createDataFrame([tuple(row)], points.schema).write.mode("append").parquet(marks)
+    return run_to_table(counted, base)
