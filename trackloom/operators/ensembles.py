@@ -251,6 +251,14 @@ def mean_max_ensemble(table: DataFrame, detectors: Sequence[str]) -> DataFrame:
     )
 
 
+def analysis_frame(aligned: DataFrame, mean_max: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Aligned detector scores with the ensembles of each sample and what is known of its track; samples keep their rows.
+
+    ``tracks`` has at most one row per sample (its key columns and counts); what is missing stays null.
+    """
+    return aligned.join(mean_max, "sample_id", "left").join(tracks, "sample_id", "left")
+
+
 def top_jaccard(scores: DataFrame, pairs: Sequence[tuple[str, str]], k: int = 500) -> DataFrame:
     """Jaccard of the k best samples of two methods, for each pair of method names.
 

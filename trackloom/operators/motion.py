@@ -220,7 +220,10 @@ def simple_components(points: DataFrame, steps: DataFrame | None = None) -> Data
 
 
 def temporal_linkage(points: DataFrame) -> DataFrame:
-    """Frame span, frame gaps and missing frames of each track."""
+    """Frame span, frame gaps and missing frames of each track.
+
+    ``gaps`` lists the places where frames are missing (frame before, gap); a track without holes has none.
+    """
     lagged = with_previous(points.select(*TRACK, "frame_id"), TRACK, "frame_id", [], depth=1)
     gap = F.col("frame_id") - F.col("prev1_frame_id")
     return (
@@ -232,6 +235,7 @@ def temporal_linkage(points: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("num_points"),
             F.coalesce(F.max("_gap"), F.lit(0)).alias("max_frame_gap"),
             F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("mean_frame_gap"),
+            F.sort_array(F.collect_list(F.when(F.col("_gap") > 1, F.struct(F.col("prev1_frame_id").alias("frame_id"), F.col("_gap").alias("gap"))))).alias("gaps"),
         )
         .withColumn(
             "missing_frames",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import box_center, box_iou, fused_confidence
@@ -63,6 +63,37 @@ def modal_relation(observations: DataFrame) -> DataFrame:
     )
 
 
+RELATION = ["modal_offset_dx", "modal_offset_dy", "modal_offset_distance", "modal_bbox_iou"]
+
+
+def parse_relation(rows: DataFrame, keep_empty: bool = True) -> DataFrame:
+    """Text cells to numbers: both sensors' centres and boxes, and the relation between them.
+
+    Empty and unreadable cells are null, and a sensor counts only with both centre coordinates.  If all four RELATION
+    cells are empty and both sensors are there, the relation is inferred from them
+    (``relation_source`` says which); ``keep_empty=False`` drops rows without any relation.
+    """
+
+    def number(c: str) -> Column:
+        return F.trim(F.col(c).cast("string")).try_cast("double")
+
+    sides = {m: {c: number(f"{m}_{c}") for c in ("cx", "cy", *BOX)} for m in ("rgb", "thermal")}
+    seen = {m: s["cx"].isNotNull() & s["cy"].isNotNull() for m, s in sides.items()}
+    parsed = {f"{m}_{c}": F.when(seen[m], v) for m, s in sides.items() for c, v in s.items()}
+    given = {c: number(c) for c in RELATION}
+    out = rows.withColumns(parsed | given)
+    dx, dy = F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy")
+    boxes = [{c: F.col(f"{m}_{c}") for c in BOX} for m in ("rgb", "thermal")]
+    inferred = dict(zip(RELATION, (dx, dy, F.hypot(dx, dy), box_iou(*boxes))))
+    none = F.coalesce(*RELATION).isNull()
+    both = F.col("rgb_cx").isNotNull() & F.col("thermal_cx").isNotNull()
+    source = F.when(~none, F.lit("given")).when(both, F.lit("inferred"))
+    out = out.withColumn("relation_source", source).withColumns(
+        {c: F.when(F.col("relation_source") == "inferred", inferred[c]).otherwise(F.col(c)) for c in RELATION}
+    )
+    return out if keep_empty else out.where(F.col("relation_source").isNotNull())
+
+
 def standardize(observations: DataFrame) -> DataFrame:
     """Availability flags, missing list and pair relation of each observation.
 

@@ -209,8 +209,7 @@ def percentiles(
     ``wanted`` maps an output name to ``(column, q)``; instead of a share ``q`` may
     be a function of the number of values that gives the 0-based position.  Keys of at most
     ``cold_rows`` rows use the built-in aggregate; whether larger ones exist is
-    checked first (so pass a materialised table).  There can be only rows /
-    cold_rows of those, hence their key list is broadcast, and they go through
+    checked first (so pass a materialised table); those, rows / cold_rows at most, go through
     ``bucketed_percentiles``.  ``cold_rows=None`` treats every key as large.
     """
     keys = list(keys)
@@ -225,8 +224,8 @@ def percentiles(
     if hot_keys.isEmpty():
         return df.groupBy(*keys).agg(*plain)
     hot_keys = materialize(hot_keys)
-    cold = df.join(F.broadcast(hot_keys), keys, "left_anti").groupBy(*keys).agg(*plain)
-    hot = bucketed_percentiles(df.join(F.broadcast(hot_keys), keys, "left_semi"), keys, wanted)
+    cold = df.join(hot_keys, keys, "left_anti").groupBy(*keys).agg(*plain)
+    hot = bucketed_percentiles(df.join(hot_keys, keys, "left_semi"), keys, wanted)
     return cold.unionByName(hot)
 
 

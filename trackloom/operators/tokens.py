@@ -87,9 +87,7 @@ def ngram_scores(train_events: DataFrame, score_events: DataFrame, alpha: float
 
     context = F.array_join(F.transform(F.split("context", " "), mapped), " ")
     rows = score_events.select(*TRACK, context.alias("context"), mapped(F.col("token")).alias("token"))
-    joined = rows.join(F.broadcast(counts), ["context", "token"], "left").join(
-        F.broadcast(totals), "context", "left"
-    )
+    joined = rows.join(counts, ["context", "token"], "left").join(totals, "context", "left")
     zero = F.lit(0)
     probability = (F.coalesce("count", zero) + alpha) / (F.coalesce("total", zero) + alpha * len(vocabulary))
     return joined.groupBy(*TRACK).agg(

@@ -193,6 +193,7 @@ _LINK = """link AS (
   SELECT sample_id, sequence, track_id, min(frame_id) AS frame_start, max(frame_id) AS frame_end, count(*) AS num_points,
          coalesce(max(gap), 0) AS max_frame_gap, coalesce(avg(gap), 0) AS mean_frame_gap,
          CAST(max(frame_id) - min(frame_id) + 1 - count(*) AS BIGINT) AS missing_frames,
+         coalesce(string_agg((frame_id - gap) || ':' || gap, ',' ORDER BY frame_id) FILTER (gap > 1), '') AS gaps,
          count(*) FILTER (rgb_cx IS NOT NULL OR thermal_cx IS NOT NULL) AS visible_any_frames
   FROM (SELECT *, frame_id - lag(frame_id) OVER (PARTITION BY sample_id ORDER BY frame_id) AS gap FROM obs) o
   GROUP BY ALL)"""
@@ -201,13 +202,48 @@ _LINK = """link AS (
 @query(
     "temporal_linkage",
     select(
-        "sample_id, sequence, track_id, frame_start, frame_end, num_points, max_frame_gap, ~mean_frame_gap, missing_frames",
+        "sample_id, sequence, track_id, frame_start, frame_end, num_points, max_frame_gap, ~mean_frame_gap, missing_frames, gaps",
         "link",
         [*sql.BASE, _LINK],
     ),
 )
 def temporal_linkage(spark, sf):
-    return motion.temporal_linkage(materialize(observations(spark, sf)))
+    found = motion.temporal_linkage(materialize(observations(spark, sf)))
+    text = F.transform("gaps", lambda g: F.concat_ws(":", g["frame_id"].cast("string"), g["gap"].cast("string")))
+    return found.withColumn("gaps", F.array_join(text, ","))
+
+
+_TEXT = """txt AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN event_id % 13 - 6.5::DOUBLE END AS g, event_id % 4 = 0 AS given,
+    rgb_cx IS NOT NULL AND thermal_cx IS NOT NULL AND event_id % 6 <> 0 AS paired,
+    rgb_cx - w / 2 AS rx, rgb_cy - h / 2 AS ry, thermal_cx - w / 2 AS tx, thermal_cy - h / 2 AS ty FROM obs),
+  rel AS (SELECT *, greatest(least(rx, tx) + w - greatest(rx, tx), 0) * greatest(least(ry, ty) + h - greatest(ry, ty), 0) AS cut FROM txt)"""
+
+
+@query(
+    "parsed_relations",
+    select(
+        """sample_id, frame_id, event_id, CASE WHEN given THEN 'given' WHEN paired THEN 'inferred' END AS relation_source,
+        ~CASE WHEN given THEN g WHEN paired THEN thermal_cx - rgb_cx END AS modal_offset_dx,
+        ~CASE WHEN paired AND NOT given THEN thermal_cy - rgb_cy END AS modal_offset_dy,
+        ~CASE WHEN paired AND NOT given THEN sqrt((thermal_cx - rgb_cx)^2 + (thermal_cy - rgb_cy)^2) END AS modal_offset_distance,
+        ~CASE WHEN paired AND NOT given THEN cut / (2 * w * h - cut) END AS modal_bbox_iou""",
+        "rel",
+        [*sql.BASE, _TEXT],
+    ),
+)
+def parsed_relations(spark, sf):
+    """Observations as text cells; some bring a relation of their own, some have an unreadable cell."""
+    rows = observations(spark, sf)
+    corner = {"x": ("cx", "w"), "y": ("cy", "h")}
+    rows = rows.withColumns(
+        {f"{m}_{a}": F.col(f"{m}_{c}") - F.col(s) / 2 for m in ("rgb", "thermal") for a, (c, s) in corner.items()}
+        | {f"{m}_{s}": F.col(s) for m in ("rgb", "thermal") for s in ("w", "h")}
+    )
+    cells = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for m in ("rgb", "thermal") for c in (f"{m}_{k}" for k in ("cx", "cy", "x", "y", "w", "h"))}
+    cells["thermal_cy"] = F.when(F.col("event_id") % 6 == 0, F.lit("n/a")).otherwise(cells["thermal_cy"])
+    own = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 13 - 6.5).cast("string")).otherwise(F.lit(" "))
+    text = rows.withColumns(cells | {"modal_offset_dx": own} | {c: F.lit("") for c in pairing.RELATION[1:]})
+    return pairing.parse_relation(text).select("sample_id", "frame_id", "event_id", "relation_source", *pairing.RELATION)
 
 
 _TQ = """tq AS (SELECT *, visible_any_frames / num_points AS fused_ratio,

@@ -21,7 +21,7 @@ from trackloom.operators import (
 )
 from trackloom.plans import oracle as sql
 from trackloom.plans.detector_queries import points, steps, train_score
-from trackloom.plans.group_queries import moving_points, vectors
+from trackloom.plans.group_queries import _EDGES, _GROUP, moving_points, vectors
 from trackloom.plans.protocol_queries import _ALIGNED, _CURVE, _EVAL, _GROUP_INJECT, _HAND, _PK, _SCORES, FRACTION, METHODS, injected, scored
 from trackloom.plans.registry import query, select
 from trackloom.session import materialize
@@ -361,7 +361,12 @@ def convergence(spark, sf):
 
 @query(
     "fingerprint",
-    None,
+    select(
+        "sum(n)::BIGINT AS num_rows, sha256(string_agg(b || ':' || n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3 || ':' || s4 || ':' || s5 || ':' || s6 || ':' || s7, ';' ORDER BY b)) AS fingerprint",
+        "(SELECT substr(h, 1, 2) AS b, count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::BIGINT AS s{i}" for i in range(8)) + """
+          FROM (SELECT sha256(sequence || '|' || track_id || '|' || frame_id || '|' || event_id) AS h FROM obs) d GROUP BY ALL) p""",
+        sql.BASE,
+    ),
 )
 def fingerprint(spark, sf):
     return report.fingerprint(observations(spark, sf), ["sequence", "track_id", "frame_id", "event_id"])
@@ -622,13 +627,39 @@ def summarize_top(spark, sf):
 
 
 # ------------------------------------------------------------------ tracking, graph score and ensembles
-@query("frame_groups")
+_COMPONENTS = """sym AS (SELECT window_id, frame_id, "left" AS a, "right" AS b FROM edges UNION ALL SELECT window_id, frame_id, "right", "left" FROM edges),
+reach AS (SELECT window_id, frame_id, track_id AS a, track_id AS b FROM wm
+  UNION SELECT r.window_id, r.frame_id, r.a, s.b FROM reach r JOIN sym s ON r.window_id = s.window_id AND r.frame_id = s.frame_id AND r.b = s.a),
+fg AS (SELECT window_id, frame_id, a AS track_id, min(b) AS component FROM reach GROUP BY ALL)"""
+_OVERLAPS = """fi AS (SELECT window_id, frame_id, row_number() OVER (PARTITION BY window_id ORDER BY frame_id) AS i FROM (SELECT DISTINCT window_id, frame_id FROM fg) f),
+pl AS (SELECT * FROM fg JOIN fi USING (window_id, frame_id)),
+sz AS (SELECT window_id, frame_id, i, component, count(*) AS size FROM pl GROUP BY ALL),
+sh AS (SELECT a.window_id, a.i, a.component, b.component AS previous, count(*) AS c FROM pl a JOIN pl b
+  ON a.window_id = b.window_id AND a.track_id = b.track_id AND b.i = a.i - 1 GROUP BY ALL),
+mt AS (SELECT sh.* FROM sh JOIN sz x ON x.window_id = sh.window_id AND x.i = sh.i AND x.component = sh.component
+  JOIN sz y ON y.window_id = sh.window_id AND y.i = sh.i - 1 AND y.component = sh.previous WHERE c::DOUBLE / (x.size + y.size - c) >= 0.3)"""
+
+
+def _recursive(text):
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("frame_groups", _recursive(select("window_id, frame_id, track_id, component", "fg", [*_GROUP, _EDGES, _COMPONENTS])))
 def frame_groups(spark, sf):
     pts = moving_points(spark, sf)
     return tracking.frame_groups(pts, neighbours.knn_edges(pts, 3, 30.0, 60.0))
 
 
-@query("group_overlaps")
+@query(
+    "group_overlaps",
+    _recursive(
+        select(
+            "s.window_id, s.frame_id, s.component, s.size, (SELECT count(*) FROM mt WHERE mt.window_id = s.window_id AND mt.i = s.i AND mt.component = s.component)::INT AS num_matches",
+            "sz s",
+            [*_GROUP, _EDGES, _COMPONENTS, _OVERLAPS],
+        )
+    ),
+)
 def group_overlaps(spark, sf):
     found = tracking.group_overlaps(materialize(frame_groups(spark, sf)))
     return found.select("window_id", "frame_id", "component", "size", F.size(F.coalesce("matches", F.array())).alias("num_matches"))
@@ -736,6 +767,30 @@ def mean_max_ensemble(spark, sf):
     return ensembles.mean_max_ensemble(materialize(detector_table(spark, sf)), _DETECTORS)
 
 
+@query(
+    "analysis_frame",
+    select(
+        "sample_id, " + ", ".join(f"~dett.{d} AS {d}" for d in _DETECTORS)
+        + f""", ~({' + '.join('deti.' + d for d in _DETECTORS)}) / 4 AS mean_score, ~greatest({', '.join('deti.' + d for d in _DETECTORS)}) AS max_score,
+        sequence, track_id, category_name, num_points, visible_rgb_frames, visible_thermal_frames""",
+        """dett JOIN deti USING (sample_id) LEFT JOIN (SELECT sample_id, sequence, track_id, arg_min(category_name, frame_id) AS category_name, count(*) AS num_points,
+          count(rgb_cx) AS visible_rgb_frames, count(thermal_cx) AS visible_thermal_frames FROM obs WHERE track_id NOT LIKE '%7' GROUP BY ALL) t USING (sample_id)""",
+        _DET,
+    ),
+)
+def analysis_frame(spark, sf):
+    """Metadata of some tracks is missing, so the left joins show."""
+    table = materialize(detector_table(spark, sf))
+    known = observations(spark, sf).where(~F.col("track_id").endswith("7"))
+    tracks = known.groupBy("sample_id", "sequence", "track_id").agg(
+        F.min_by("category_name", "frame_id").alias("category_name"),
+        F.count(F.lit(1)).alias("num_points"),
+        F.count("rgb_cx").alias("visible_rgb_frames"),
+        F.count("thermal_cx").alias("visible_thermal_frames"),
+    )
+    return ensembles.analysis_frame(table, ensembles.mean_max_ensemble(table, _DETECTORS), tracks)
+
+
 @query("complementary_elimination")
 def complementary_elimination(spark, sf):
     return ensembles.complementary_elimination(materialize(detector_table(spark, sf)), _DETECTORS, k=30)
