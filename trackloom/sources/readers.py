@@ -23,7 +23,7 @@ LABEL_COLUMNS = "sample_id string, window_id string, sequence string, track_id s
 
 # Column names external score files use, and MOT profiles.
 ID_COLUMNS = ["sample_id", "trajectory_id", "track_id", "id"]
-SCORE_COLUMNS = ["score", "anomaly_score", "final_score", "cetrajad_score"]
+SCORE_COLUMNS = ["score", "anomaly_score", "final_score", "cetrajad_score", "nll", "log_perplexity"]
 VISIBILITY_PROFILES = ["motchallenge", "m3ot", "dancetrack", "sportsmot"]
 SINGLE_CATEGORY_PROFILES = ["dancetrack", "sportsmot"]
 
