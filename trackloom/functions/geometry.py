@@ -31,13 +31,14 @@ def box_iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def repaired_box_area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Area of an x0, y0, x1, y1 box; a negative extent means the box was x, y, w, h."""
+    """Area of an x0, y0, x1, y1 box; a negative extent means the box was x, y, w, h; null without all four."""
     width, height = x1 - x0, y1 - y0
     as_size = (width < 0) | (height < 0)
     zero = F.lit(0.0)
-    return F.greatest(F.when(as_size, x1).otherwise(width), zero) * F.greatest(
+    area = F.greatest(F.when(as_size, x1).otherwise(width), zero) * F.greatest(
         F.when(as_size, y1).otherwise(height), zero
     )
+    return F.when(width.isNotNull() & height.isNotNull(), area)
 
 
 def fused_confidence(both: Column, offset: Column) -> Column:
@@ -78,13 +79,3 @@ def frame_iou(s0: Column, e0: Column, s1: Column, e1: Column) -> Column:
     inter = F.greatest(zero, F.least(e0, e1) - F.greatest(s0, s1) + 1)
     union = F.greatest(zero, e0 - s0 + 1) + F.greatest(zero, e1 - s1 + 1) - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
-
-
-def sequence_of(sample_id: Column) -> Column:
-    """Part before the first colon."""
-    return F.substring_index(sample_id, ":", 1)
-
-
-def track_of(sample_id: Column) -> Column:
-    """Part after the first colon; the whole id when there is none."""
-    return F.regexp_replace(sample_id, "^[^:]*:", "")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import box_center, box_iou, fused_confidence
+from trackloom.functions.geometry import box_center, box_iou, fused_confidence, repaired_box_area
 
 KEYS = ["sequence", "track_id", "frame_id"]
 BOX = ["x", "y", "w", "h"]
@@ -63,6 +65,34 @@ def modal_relation(observations: DataFrame) -> DataFrame:
     )
 
 
+PREFERENCE = ("fused", "rgb", "thermal")
+
+
+def preferred_centers(observations: DataFrame, order: Sequence[str] = PREFERENCE) -> DataFrame:
+    """``cx``, ``cy`` and ``center_source`` of each observation: the first centre of ``order`` with two finite coordinates.
+
+    Without ``fused_cx`` and ``fused_cy`` the fused centre is the mean of both sensors.  Observations without any stay, with nulls.
+    """
+    rows = observations
+    if "fused" in order and "fused_cx" not in rows.columns:
+        rows = rows.withColumns({f"fused_{c}": (F.col(f"rgb_{c}") + F.col(f"thermal_{c}")) / 2 for c in ("cx", "cy")})
+
+    def finite(c: str) -> Column:
+        return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+    seen = {m: finite(f"{m}_cx") & finite(f"{m}_cy") for m in order}
+    pick = F.coalesce(*[F.when(seen[m], F.struct(F.col(f"{m}_cx").alias("cx"), F.col(f"{m}_cy").alias("cy"), F.lit(m).alias("source"))) for m in order])
+    return rows.withColumn("_c", pick).select(
+        *observations.columns, F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"), F.col("_c.source").alias("center_source")
+    )
+
+
+def box_area_stats(boxes: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Mean and largest area per key of boxes (x0, y0, x1, y1), of which some are x, y, w, h in truth; null boxes do not count."""
+    area = repaired_box_area(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    return boxes.groupBy(*keys).agg(F.count(area).alias("num_boxes"), F.avg(area).alias("mean_area"), F.max(area).alias("max_area"))
+
+
 RELATION = ["modal_offset_dx", "modal_offset_dy", "modal_offset_distance", "modal_bbox_iou"]
 
 

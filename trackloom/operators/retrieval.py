@@ -77,11 +77,6 @@ def mean_vectors(crops: DataFrame) -> DataFrame:
     return means.groupBy("id").agg(F.transform(ordered, lambda e: e["value"]).alias("vector"))
 
 
-def sample_by_hash(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """The n rows with the smallest md5 of seed and id: at most n, reproducible."""
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(n)
-
-
 def pca_reduce(vectors: DataFrame, dims: int) -> DataFrame:
     """Project to the leading principal components of all vectors."""
     as_vectors = vectors.withColumn("_v", array_to_vector("vector"))

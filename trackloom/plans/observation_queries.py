@@ -213,6 +213,50 @@ def temporal_linkage(spark, sf):
     return found.withColumn("gaps", F.array_join(text, ","))
 
 
+@query(
+    "preferred_centers",
+    select(
+        """sample_id, frame_id, event_id, CASE WHEN thermal_cx IS NOT NULL AND event_id % 9 <> 0 THEN 'thermal' WHEN b AND event_id % 9 <> 0 THEN 'fused' WHEN rgb_cx IS NOT NULL THEN 'rgb' END AS center_source,
+        ~CASE WHEN thermal_cx IS NOT NULL AND event_id % 9 <> 0 THEN thermal_cx ELSE rgb_cx END AS cx,
+        ~CASE WHEN thermal_cx IS NOT NULL AND event_id % 9 <> 0 THEN thermal_cy ELSE rgb_cy END AS cy""",
+        "(SELECT *, rgb_cx IS NOT NULL AND thermal_cx IS NOT NULL AS b FROM obs) o",
+        sql.BASE,
+    ),
+)
+def preferred_centers(spark, sf):
+    """Thermal before fused before RGB; some thermal coordinates are not finite."""
+    rows = observations(spark, sf).withColumn("thermal_cy", F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("thermal_cy")))
+    found = pairing.preferred_centers(rows, ("thermal", "fused", "rgb"))
+    return found.select("sample_id", "frame_id", "event_id", "center_source", "cx", "cy")
+
+
+@query(
+    "box_areas",
+    select(
+        "sample_id, count(a) AS num_boxes, ~avg(a) AS mean_area, ~max(a) AS max_area",
+        """(SELECT sample_id, CASE WHEN rgb_cx IS NULL THEN NULL WHEN event_id % 3 <> 0 THEN w * h
+             WHEN w < rgb_cx - w / 2 OR h < rgb_cy - h / 2 THEN w * h
+             ELSE (w - (rgb_cx - w / 2)) * (h - (rgb_cy - h / 2)) END AS a FROM obs) o""",
+        sql.BASE,
+        "GROUP BY sample_id",
+    ),
+)
+def box_areas(spark, sf):
+    """A third of the boxes come as corner and size; they are told by their negative extent."""
+    rows = observations(spark, sf)
+    x, y = F.col("rgb_cx") - F.col("w") / 2, F.col("rgb_cy") - F.col("h") / 2
+    sized = F.col("event_id") % 3 == 0
+    seen = F.col("rgb_cx").isNotNull()
+    boxes = rows.select(
+        "sample_id",
+        x.alias("x0"),
+        y.alias("y0"),
+        F.when(seen, F.when(sized, F.col("w")).otherwise(x + F.col("w"))).alias("x1"),
+        F.when(seen, F.when(sized, F.col("h")).otherwise(y + F.col("h"))).alias("y1"),
+    )
+    return pairing.box_area_stats(boxes)
+
+
 _TEXT = """txt AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN event_id % 13 - 6.5::DOUBLE END AS g, event_id % 4 = 0 AS given,
     rgb_cx IS NOT NULL AND thermal_cx IS NOT NULL AND event_id % 6 <> 0 AS paired,
     rgb_cx - w / 2 AS rx, rgb_cy - h / 2 AS ry, thermal_cx - w / 2 AS tx, thermal_cy - h / 2 AS ty FROM obs),

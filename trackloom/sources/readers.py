@@ -19,7 +19,6 @@ WINDOW_SCHEMA = (
     "window_id string, sequence string, frame_start int, frame_end int, part int, "
     f"objects array<struct<sample_id:string,track_id:string,states:array<{POINT}>>>"
 )
-LABEL_COLUMNS = "sample_id string, window_id string, sequence string, track_id string, frame_start string, frame_end string, label string, anomaly_type string, injection_seed string"
 
 # Column names external score files use, and MOT profiles.
 ID_COLUMNS = ["sample_id", "trajectory_id", "track_id", "id"]
