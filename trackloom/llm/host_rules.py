@@ -16,8 +16,8 @@ from trackloom.session import materialize
 
 #: Shrunk failure rate from which a host is condemned on a rule.
 CONDEMNED = 0.5
-#: Weight of the prior in documents: its least, and its most where hosts differ by chance only.
-PRIOR_MIN, PRIOR_MAX = 1.0, 1e6
+#: Weight of the prior in documents: its least (a few documents of a host prove little), and its most where hosts differ by chance only.
+PRIOR_MIN, PRIOR_MAX = 10.0, 1e6
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 RULES = {
     "short": "n_words < 50",
