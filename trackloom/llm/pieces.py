@@ -202,7 +202,7 @@ class Automaton:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         begin = np.flatnonzero(cut)
         length = np.diff(np.append(begin, len(data)))
-        _, lead, same = np.unique(hashes(data, length), return_index=True, return_inverse=True)
+        _, lead, same = np.unique(hashes(data, begin, length), return_index=True, return_inverse=True)
         if (length != length[lead][same]).any():  # two segments of one hash
             lead = same = np.arange(len(begin))
         solved, number = self.solve(data, begin[lead], length[lead])

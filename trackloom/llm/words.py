@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text handled at a time; numpy holds a few eight-byte arrays of that length.
@@ -23,16 +24,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _BASE = U64(0x9E3779B97F4A7C15)
-_BLOCK = 4096
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(U64(0x5851F42D4C957F2D), _BLOCK)
+#: Masks of the first 0 to 8 bytes of a little-endian word; bytes from which a string is hashed at once.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,19 +100,23 @@ def words_of(column: pa.Array, inside: np.ndarray = SPACED, fold: np.ndarray | N
         breaks = np.flatnonzero(data == 10)
         passed = np.cumsum(np.bincount(np.searchsorted(start, breaks), minlength=len(start) + 1))[: len(start)]
         line = passed - np.searchsorted(breaks, offs[:-1])[row]
-    return Words(data, offs, hashes(data[is_word], end - start), row, line, start, end, n)
-
-
-def hashes(letters: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hash of consecutive byte strings of the given lengths (all at least one)."""
-    if not len(length):
-        return np.zeros(0, U64)
-    begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-    place = np.arange(len(letters)) - np.repeat(begin, length)
-    value = (letters.astype(U64) + U64(1)) * _POW[place & (_BLOCK - 1)]
-    if length.max() > _BLOCK:
-        value *= mix(place.astype(U64) // U64(_BLOCK)) | U64(1)
-    return mix(np.add.reduceat(value, begin) ^ (length.astype(U64) * _BASE))
+    return Words(data, offs, hashes(data, start, end - start), row, line, start, end, n)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of byte strings of ``data``, eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(length.astype(U64) * _BASE ^ (eight[start] & _HEAD[np.minimum(length, 8)]))
+    at = np.flatnonzero(length > 8)
+    k = 8
+    while len(at) and k < _LONG:
+        out[at] = mix(out[at] ^ (eight[start[at] + k] & _HEAD[np.minimum(length[at] - k, 8)]))
+        k += 8
+        at = at[length[at] > k]
+    for i in at.tolist():
+        out[i] = out[i] ^ U64(xxhash.xxh3_64_intdigest(data[start[i] + k : start[i] + length[i]].tobytes()))
+    return out
 
 
 def combine(parts: np.ndarray, begin: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
