@@ -19,14 +19,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import SPACED, U64, chunks, words_of
+from trackloom.llm.words import SPACED, U64, chunks, hashes, words_of
 from trackloom.session import materialize
 
 MIN_LENGTH = 8
 THRESHOLD = 0.5
 #: Labelled findings the forest is fitted on, at most, of either label; and its size.
 SAMPLE, TREES, DEPTH, SEED = 4000, 20, 8, 11
-#: Cells of hashed word counts; words in cells of more than 1/4096 of all words form the dictionary.
+#: Cells of hashed word counts; words in cells of more than 1/4096 of all words form the dictionary (at most 4,096 cells).
 CELLS, HEAVY = 1 << 18, 4096
 CLASSES = 40
 _EDGE = "\"'`.,;:!?()[]{}<>|$%&*#"
@@ -94,7 +94,7 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
     """
     spark = docs.sparkSession
     steps, cells = counts or corpus_counts(docs, path)
-    shared = spark.sparkContext.broadcast((steps, np.flatnonzero(cells * HEAVY > max(int(cells.sum()), 1))))
+    shared = spark.sparkContext.broadcast((steps, cells * HEAVY > max(int(cells.sum()), 1)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, heavy = shared.value
@@ -104,11 +104,7 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
             w = words_of(batch.column("_text"))
             number = np.concatenate([[0], np.cumsum(digit[w.data])])
             picked = np.flatnonzero((number[w.end] > number[w.start]) & (w.end - w.start >= MIN_LENGTH))
-            common = np.isin((w.hash >> U64(46)).astype(np.int64), heavy)
-            # dictionary words of this chunk, by their letters
-            _, lead = np.unique(w.hash[common], return_index=True)
-            dictionary = {w.text(i) for i in np.flatnonzero(common)[lead]} if len(picked) else set()
-            dictionary = {x.lower() for x in dictionary if len(x) >= 3}
+            passed = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])  # characters before each byte
             first = np.searchsorted(w.row, np.arange(w.n_rows + 1))
             ids, paths = batch.column("doc_id"), batch.column("_path")
             out: list[tuple] = []
@@ -118,12 +114,11 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
                 if len(free) < MIN_LENGTH or not any(c in "0123456789" for c in free):
                     continue
                 row = int(w.row[i])
-                lead_text = w.data[w.offsets[row] : w.start[i]].tobytes().decode("utf-8", "replace")
-                start = len(lead_text) + raw.index(free)
+                start = int(passed[w.start[i]] - passed[w.offsets[row]]) + raw.index(free)
                 before = w.text(i - 1).decode("utf-8", "replace") if i > first[row] else ""
                 after = w.text(i + 1).decode("utf-8", "replace") if i + 1 < first[row + 1] else ""
                 label = 1 if SECRET.fullmatch(free) else 0 if HARMLESS.fullmatch(free) else None
-                out.append((ids[row].as_py(), paths[row].as_py(), start, start + len(free), free, label, *_features(free, before, after, steps, dictionary)))
+                out.append((ids[row].as_py(), paths[row].as_py(), start, start + len(free), free, label, *_features(free, before, after, steps, heavy)))
             names = ["doc_id", "path", "start", "end", "finding", "label", *NUMBERS[:-1]]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * (len(NUMBERS) - 1)]
             columns = list(zip(*out)) or [[] for _ in names]
@@ -133,7 +128,7 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
     return _rows(docs, path).mapInArrow(find, f"doc_id long, path string, start long, end long, finding string, label int, {numbers}")
 
 
-def _features(free: str, before: str, after: str, steps: np.ndarray, dictionary: set[bytes]) -> tuple[float, ...]:
+def _features(free: str, before: str, after: str, steps: np.ndarray, heavy: np.ndarray) -> tuple[float, ...]:
     name, sign, value = free.rpartition("=")
     if not sign:
         name, sign, value = free.rpartition(":")
@@ -143,13 +138,14 @@ def _features(free: str, before: str, after: str, steps: np.ndarray, dictionary:
     n = len(b)
     share = np.bincount(b, minlength=256)[np.unique(b)] / n
     kind = np.where(c < 26, np.where((b >= 65) & (b <= 90), 1, 0), np.where(c < 36, 2, 3))
-    low = value.lower().encode()
-    covered = np.zeros(len(low), bool)
-    for a in range(len(low) - 2):
-        for size in range(min(12, len(low) - a), 2, -1):
-            if low[a : a + size] in dictionary:
-                covered[a : a + size] = True
-                break
+    low = np.frombuffer(value.lower().encode(), np.uint8)
+    edges = np.zeros(len(low) + 1, np.int64)
+    for size in range(3, min(12, len(low)) + 1):
+        at = np.arange(len(low) - size + 1)
+        at = at[heavy[(hashes(low, at, np.full(len(at), size)) >> U64(46)).astype(np.int64)]]
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + size, -1)
+    covered = np.cumsum(edges[:-1]) > 0
     return (
         float(n), float(np.mean(kind == 2)), float(np.mean(kind == 1)), len(share) / n, float(-(share * np.log2(share)).sum()),
         float(steps[c[:-1], c[1:]].mean()) if n > 1 else 0.0, float(np.mean(kind[1:] != kind[:-1])) if n > 1 else 0.0,
