@@ -81,3 +81,5 @@ def test_given_weights(documents, spark):
 def test_empty_table(documents):
     assert M.mixed(documents([])).count() == 0 and M.mixture(documents([])).count() == 0
     assert M.mixed(documents([(1, None, None)])).collect()[0].taken == 0
+    mixed = M.mixed(documents([(1, "", "empty"), (2, "some words", "full"), (3, None, None)])).collect()
+    assert {r.doc_id: r.taken for r in mixed} == {1: 0, 2: 2, 3: 0}

@@ -76,18 +76,18 @@ def mixed(
     queue = running_sums(rows, _ORDER, "size", by=("_s",), out="_cum").join(aims, "_s")
     queue = materialize(queue)
     ready = (F.col("size") > 0) & (F.col("target") > 0)
-    epochs = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(EPOCHS - 1)).cast("int")
+    epochs = F.least(F.floor(F.try_divide("target", "source_size")), F.lit(EPOCHS - 1)).cast("int")
     copies = queue.where(ready).select(
         "_s", "_o", "_k", "size", "_cum", "source_size", "target", F.explode(F.sequence(F.lit(0), epochs)).alias("_e")
     )
-    finish = (F.col("_e") * F.col("source_size") + F.col("_cum")) / F.col("target")
+    finish = F.try_divide(F.col("_e") * F.col("source_size") + F.col("_cum"), F.col("target"))
     line = running_sums(copies.withColumn("_v", finish), ["_v", *_ORDER, "_e"], "size", out="_all")
     at = [F.col(c) for c in ("_v", *_ORDER, "_cum")]
     last = line.where(F.col("_all") <= budget).agg(F.max(F.struct(*at)).alias("m")).first()["m"]
     taken = F.lit(0)
     if last is not None:
         for e in range(EPOCHS):
-            end = (F.lit(e) * F.col("source_size") + F.col("_cum")) / F.col("target")
+            end = F.try_divide(F.lit(e) * F.col("source_size") + F.col("_cum"), F.col("target"))
             before = F.struct(end.alias("_v"), *at[1:]) <= F.struct(*[F.lit(last[c]).alias(c) for c in ("_v", *_ORDER, "_cum")])
             taken = taken + F.when(ready & (F.lit(e) <= epochs) & before, 1).otherwise(0)
     return queue.withColumn("copies", taken.cast("int")).select(
