@@ -32,8 +32,12 @@ CLASSES = 40
 _EDGE = "\"'`.,;:!?()[]{}<>|$%&*#"
 # Names that announce a secret, and formats of findings that are labelled without doubt.
 KEYWORDS = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|login", re.I)
-SECRET = re.compile(r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|api_key|token)[=:][0-9A-Za-z+/_-]{12,}")
-HARMLESS = re.compile(r"[0-9]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{3}-[0-9]{4}|[^@\s]+@[^@\s]+\.[a-z]+|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}")
+SECRET = re.compile(r"AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|api_key|token)[=:][0-9A-Za-z+/_-]{12,}")
+HARMLESS = re.compile(r"[0-9]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{3}-[0-9]{4}|[^@\s]+@[^@\s]+\.[a-z]+")
+#: Words of hex digits are harmless only beside a name of what they digest.
+DIGEST = re.compile(r"[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}")
+DIGESTED = re.compile(r"commit|sha-?[0-9]*|digest|checksum|hash|revision|rev|tree|parent|blob|etag|fingerprint", re.I)
+_SIGNS = "=:>"
 NUMBERS = [
     "length", "digits", "uppers", "distinct", "entropy", "transitions", "switches", "hex", "coverage", "assigned",
     "keyword", "before", "after", "path",
@@ -90,7 +94,8 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
     """``doc_id``, ``path``, ``start``, ``end`` (characters of the text), ``finding``, ``label`` (by format, else null) and the features.
 
     A candidate is a word cut free of brackets, quotes and stops, of MIN_LENGTH characters or more, with a digit.  Of
-    ``name=value`` and ``name:value`` the features describe the value.  Null texts have none.
+    an assignment (``name=value``, ``name: value``, ``name = "value"``) the features describe the value; name and value
+    make the label.  Null texts have none.
     """
     spark = docs.sparkSession
     steps, cells = counts or corpus_counts(docs, path)
@@ -115,10 +120,10 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
                     continue
                 row = int(w.row[i])
                 start = int(passed[w.start[i]] - passed[w.offsets[row]]) + raw.index(free)
-                before = w.text(i - 1).decode("utf-8", "replace") if i > first[row] else ""
-                after = w.text(i + 1).decode("utf-8", "replace") if i + 1 < first[row + 1] else ""
-                label = 1 if SECRET.fullmatch(free) else 0 if HARMLESS.fullmatch(free) else None
-                out.append((ids[row].as_py(), paths[row].as_py(), start, start + len(free), free, label, *_features(free, before, after, steps, heavy)))
+                near = [w.text(j).decode("utf-8", "replace") if first[row] <= j < first[row + 1] else "" for j in (i - 2, i - 1, i + 1, i + 2)]
+                name, value, before, after = _context(raw, free, near)
+                label = _label(free, name, value, before)
+                out.append((ids[row].as_py(), paths[row].as_py(), start, start + len(free), free, label, *_features(name, value, before, after, steps, heavy)))
             names = ["doc_id", "path", "start", "end", "finding", "label", *NUMBERS[:-1]]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * (len(NUMBERS) - 1)]
             columns = list(zip(*out)) or [[] for _ in names]
@@ -128,11 +133,40 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
     return _rows(docs, path).mapInArrow(find, f"doc_id long, path string, start long, end long, finding string, label int, {numbers}")
 
 
-def _features(free: str, before: str, after: str, steps: np.ndarray, heavy: np.ndarray) -> tuple[float, ...]:
-    name, sign, value = free.rpartition("=")
-    if not sign:
-        name, sign, value = free.rpartition(":")
-    value = value or free
+def _context(raw: str, free: str, near: list[str]) -> tuple[str | None, str, str, str]:
+    """Name (None if nothing is assigned), value and the words beside them, signs of assignment passed over.
+
+    ``near`` are the two words before and the two after.  Name, sign and value are one word or up to three.
+    """
+    two, one, after, later = near
+    sign = lambda x: bool(x) and not x.strip(_SIGNS)
+    after = later if sign(after) else after
+    name, glued, value = free.rpartition("=")
+    if not glued:
+        name, glued, value = free.rpartition(":")
+    if name and value:
+        return name.strip(_EDGE), value.strip(_EDGE), two if sign(one) else one, after
+    value = (value or free).strip(_EDGE)
+    left = raw[: raw.index(free)] + (free[: free.index(value)] if value else "")
+    if sign(one):
+        return two.strip(_EDGE + _SIGNS), value, two, after
+    if one.strip("\"'`").endswith(("=", ":")) or any(x in left for x in "=:"):
+        return one.strip(_EDGE + _SIGNS), value, one, after
+    return None, value, one, after
+
+
+def _label(free: str, name: str | None, value: str, before: str) -> int | None:
+    """1 or 0 where format and context leave no doubt.  A harmless format under a name that announces a secret has no label."""
+    if HARMLESS.fullmatch(value):
+        return None if KEYWORDS.search(name or "") else 0
+    if SECRET.fullmatch(free) or SECRET.fullmatch(value) or name is not None and SECRET.fullmatch(f"{name}={value}"):
+        return 1
+    if DIGEST.fullmatch(value) and DIGESTED.fullmatch((before if name is None else name).strip(_EDGE + _SIGNS)):
+        return 0
+    return None
+
+
+def _features(name: str | None, value: str, before: str, after: str, steps: np.ndarray, heavy: np.ndarray) -> tuple[float, ...]:
     b = np.frombuffer(value.encode(), np.uint8)
     c = _class(b)
     n = len(b)
@@ -149,8 +183,8 @@ def _features(free: str, before: str, after: str, steps: np.ndarray, heavy: np.n
     return (
         float(n), float(np.mean(kind == 2)), float(np.mean(kind == 1)), len(share) / n, float(-(share * np.log2(share)).sum()),
         float(steps[c[:-1], c[1:]].mean()) if n > 1 else 0.0, float(np.mean(kind[1:] != kind[:-1])) if n > 1 else 0.0,
-        float(all(x in "0123456789abcdefABCDEF" for x in value)), float(covered.mean()) if len(low) else 0.0, float(bool(sign)),
-        float(bool(KEYWORDS.search(name))), float(bool(KEYWORDS.search(before))), float(bool(KEYWORDS.search(after))),
+        float(all(x in "0123456789abcdefABCDEF" for x in value)), float(covered.mean()) if len(low) else 0.0, float(name is not None),
+        float(bool(KEYWORDS.search(name or ""))), float(bool(KEYWORDS.search(before))), float(bool(KEYWORDS.search(after))),
     )
 
 
