@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are words with a digit, bare or as the value of an assignment.  Each is described by its length, the
+Candidates are words with a digit, values of assignments, and long words of unusual transitions.  Each is described by its length, the
 likelihood of its character transitions in ordinary words of the corpus, the share that dictionary words cover, its path (the
 source of the document) and the words beside it.  A random forest, fitted on labelled findings, gives the
 probability that a candidate is a secret.
@@ -38,6 +38,10 @@ HARMLESS = re.compile(r"[0-9]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{3}-[0-9]{4}|[
 DIGEST = re.compile(r"[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}")
 DIGESTED = re.compile(r"commit|sha-?[0-9]*|digest|checksum|hash|revision|rev|tree|parent|blob|etag|fingerprint", re.I)
 _SIGNS = "=:>"
+#: Words are cut here, so that each assignment of a query string, of JSON or of a list is one candidate.
+_PIECE = re.compile(r"[^\"'`&,;{}?]+")
+#: From this length on a word without a digit is a candidate if its transitions are less likely than letters drawn evenly.
+LONG, EVEN = 16, -float(np.log(26))
 NUMBERS = [
     "length", "digits", "uppers", "distinct", "entropy", "transitions", "switches", "hex", "coverage", "assigned",
     "keyword", "before", "after", "path",
@@ -93,7 +97,8 @@ def corpus_counts(docs: DataFrame, path: str = "source") -> tuple[np.ndarray, np
 def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = None, path: str = "source") -> DataFrame:
     """``doc_id``, ``path``, ``start``, ``end`` (characters of the text), ``finding``, ``label`` (by format, else null) and the features.
 
-    A candidate is a word cut free of brackets, quotes and stops, of MIN_LENGTH characters or more, with a digit.  Of
+    A candidate is a word cut free of brackets, quotes and stops, of MIN_LENGTH characters or more, with a digit,
+    the value of an assignment, or long and of unusual transitions.  Each assignment of a word is one candidate.  Of
     an assignment (``name=value``, ``name: value``, ``name = "value"``) the features describe the value; name and value
     make the label.  Null texts have none.
     """
@@ -103,27 +108,43 @@ def candidates(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = N
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, heavy = shared.value
-        digit = np.zeros(256, bool)
+        digit, sign = np.zeros(256, bool), np.zeros(256, bool)
         digit[0x30:0x3A] = True
+        sign[[0x3A, 0x3D]] = True
         for batch in chunks(batches, "_text"):
             w = words_of(batch.column("_text"))
             number = np.concatenate([[0], np.cumsum(digit[w.data])])
-            picked = np.flatnonzero((number[w.end] > number[w.start]) & (w.end - w.start >= MIN_LENGTH))
+            signs = np.concatenate([[0], np.cumsum(sign[w.data])])
+            c = _class(w.data)
+            likely = np.concatenate([[0.0], np.cumsum(steps[c[:-1], c[1:]]), [0.0]])
+            size = w.end - w.start
+            odd = (size >= LONG) & (likely[w.end - 1] - likely[w.start] < EVEN * (size - 1))
+            has_sign = signs[w.end] > signs[w.start]
+            follows = np.zeros(len(size), bool)  # '=' and '>' stand alone or end the word before
+            follows[1:] = has_sign[:-1]
+            follows[2:] |= has_sign[:-2]
+            picked = np.flatnonzero(((number[w.end] > number[w.start]) | odd | has_sign | follows) & (size >= MIN_LENGTH))
             passed = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])  # characters before each byte
             first = np.searchsorted(w.row, np.arange(w.n_rows + 1))
             ids, paths = batch.column("doc_id"), batch.column("_path")
             out: list[tuple] = []
             for i in picked.tolist():
-                raw = w.text(i).decode("utf-8", "replace")
-                free = raw.strip(_EDGE)
-                if len(free) < MIN_LENGTH or not any(c in "0123456789" for c in free):
-                    continue
                 row = int(w.row[i])
-                start = int(passed[w.start[i]] - passed[w.offsets[row]]) + raw.index(free)
-                near = [w.text(j).decode("utf-8", "replace") if first[row] <= j < first[row + 1] else "" for j in (i - 2, i - 1, i + 1, i + 2)]
-                name, value, before, after = _context(raw, free, near)
-                label = _label(free, name, value, before)
-                out.append((ids[row].as_py(), paths[row].as_py(), start, start + len(free), free, label, *_features(name, value, before, after, steps, heavy)))
+                around = [w.text(j).decode("utf-8", "replace") if first[row] <= j < first[row + 1] else "" for j in range(i - 2, i + 3)]
+                raw, offset = around[2], int(passed[w.start[i]] - passed[w.offsets[row]])
+                own = list(_PIECE.finditer(raw))
+                left, right = [[m[0] for x in part for m in _PIECE.finditer(x)] for part in (around[:2], around[3:])]
+                line = ["", "", *left, *[m[0] for m in own], *right, "", ""]
+                for k, m in enumerate(own, 2 + len(left)):
+                    free = m[0].strip(_EDGE)
+                    if len(free) < MIN_LENGTH:
+                        continue
+                    name, value, before, after = _context(m[0], free, [line[k - 2], line[k - 1], line[k + 1], line[k + 2]])
+                    if not any(x in "0123456789" for x in free) and not _worth(name, value, steps):
+                        continue
+                    label = _label(free, name, value, before)
+                    start = offset + m.start() + m[0].index(free)
+                    out.append((ids[row].as_py(), paths[row].as_py(), start, start + len(free), free, label, *_features(name, value, before, after, steps, heavy)))
             names = ["doc_id", "path", "start", "end", "finding", "label", *NUMBERS[:-1]]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.float64()] * (len(NUMBERS) - 1)]
             columns = list(zip(*out)) or [[] for _ in names]
@@ -141,9 +162,11 @@ def _context(raw: str, free: str, near: list[str]) -> tuple[str | None, str, str
     two, one, after, later = near
     sign = lambda x: bool(x) and not x.strip(_SIGNS)
     after = later if sign(after) else after
-    name, glued, value = free.rpartition("=")
+    body = free.rstrip("=")  # base64 ends with '='
+    name, glued, value = body.rpartition("=")
     if not glued:
-        name, glued, value = free.rpartition(":")
+        name, glued, value = body.rpartition(":")
+    value += free[len(body) :]
     if name and value:
         return name.strip(_EDGE), value.strip(_EDGE), two if sign(one) else one, after
     value = (value or free).strip(_EDGE)
@@ -155,10 +178,20 @@ def _context(raw: str, free: str, near: list[str]) -> tuple[str | None, str, str
     return None, value, one, after
 
 
+def _worth(name: str | None, value: str, steps: np.ndarray) -> bool:
+    """Whether a word without a digit is a candidate: the value of an assignment, or long and of unusual transitions."""
+    if name is not None and len(value) >= MIN_LENGTH:
+        return True
+    c = _class(np.frombuffer(value.encode(), np.uint8))
+    return len(c) >= LONG and float(np.mean(c < 36)) >= 0.5 and float(steps[c[:-1], c[1:]].mean()) < EVEN
+
+
 def _label(free: str, name: str | None, value: str, before: str) -> int | None:
     """1 or 0 where format and context leave no doubt.  A harmless format under a name that announces a secret has no label."""
     if HARMLESS.fullmatch(value):
         return None if KEYWORDS.search(name or "") else 0
+    if value.isalpha() and (value[1:].islower() or value.isupper()):  # may be prose: "the secret: understanding"
+        return None
     if SECRET.fullmatch(free) or SECRET.fullmatch(value) or name is not None and SECRET.fullmatch(f"{name}={value}"):
         return 1
     if DIGEST.fullmatch(value) and DIGESTED.fullmatch((before if name is None else name).strip(_EDGE + _SIGNS)):
