@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import fixity, host_rules, license_automaton, line_join, mixing, pieces, probminhash, projection_pairs, secret_forest, toxicity
+from trackloom.llm import fixity, host_rules, license_automaton, line_join, mixing, pieces, probminhash, projection_pairs, secret_forest, toxicity, turn_repair
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(table(spark, sf_dir, "conversations"))
