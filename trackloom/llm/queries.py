@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import fixity, host_rules, license_automaton, line_join, mixing, pieces, probminhash, projection_pairs, secret_forest, token_blocks, toxicity, turn_repair
+from trackloom.llm import fixity, host_rules, license_automaton, line_join, mixing, pieces, probminhash, projection_pairs, secret_forest, spelling, token_blocks, toxicity, turn_repair
 from trackloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_token_blocks")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
