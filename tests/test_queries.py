@@ -32,6 +32,9 @@ CHECKED = [
     "padded_centers",
     "point_lists",
     "bounded_training_sample",
+    "stream_window_coverage",
+    "compatibility_weights",
+    "compatible_pose",
     "auroc",
     "best_f1",
 ]

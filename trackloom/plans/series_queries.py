@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import cloud, series, windows
+from trackloom.operators import cloud, compatibility, series, windows
 from trackloom.plans import oracle as sql
 from trackloom.plans.detector_queries import points, train_score
 from trackloom.plans.registry import query, select
@@ -358,6 +358,59 @@ def compatibility_degrees(spark, sf):
     return cloud.compatibility(materialize(_matches(spark, sf)[3]), 1e-6)
 
 
+def _bent(spark, sf):
+    """Correspondences of a quarter turn: every third one wrong, the rest a little off."""
+    source, target = moved_clouds(spark, sf)
+    off = F.when(F.col("pt") % 3 == 0, 0.3 * (F.col("pt") % 7 - 3)).otherwise(0.004 * (F.col("pt") % 5))
+    there = target.select("pair_id", "pt", (F.col("x") + off).alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+    return materialize(source.drop("side").join(there, ["pair_id", "pt"]))
+
+
+_TURNS = 10
+_BENT = [
+    _CLOUD,
+    _MOVED,
+    "co AS MATERIALIZED (SELECT c.*, m.x + CASE WHEN pt % 3 = 0 THEN 0.3 * (pt % 7 - 3) ELSE 0.004 * (pt % 5) END AS tx, m.y AS ty, m.z AS tz FROM cl c JOIN mv m USING (pair_id, pt))",
+    """fit AS MATERIALIZED (SELECT pair_id, i, j, d, greatest(0, 1 - (d / 0.05::DOUBLE)^2) AS w FROM (SELECT a.pair_id, a.pt AS i, b.pt AS j,
+        abs(sqrt((a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2) - sqrt((a.tx - b.tx)^2 + (a.ty - b.ty)^2 + (a.tz - b.tz)^2)) AS d
+        FROM co a JOIN co b ON a.pair_id = b.pair_id AND a.pt <> b.pt) p)""",
+    """second AS MATERIALIZED (SELECT a.pair_id, a.i, b.j, sum(a.w * b.w) * any_value(m.w) AS w FROM fit a JOIN fit b ON a.pair_id = b.pair_id AND a.j = b.i
+        JOIN fit m ON m.pair_id = a.pair_id AND m.i = a.i AND m.j = b.j WHERE m.w > 0 GROUP BY ALL)""",
+    "v0 AS MATERIALIZED (SELECT pair_id, pt, 1.0::DOUBLE / count(*) OVER (PARTITION BY pair_id) AS v FROM co)",
+    *[
+        f"""v{t + 1} AS MATERIALIZED (SELECT pair_id, pt, y / sqrt(sum(y * y) OVER (PARTITION BY pair_id)) AS v FROM
+        (SELECT v.pair_id, v.pt, coalesce(sum(s.w * u.v), 0) AS y FROM v{t} v LEFT JOIN second s ON s.pair_id = v.pair_id AND s.i = v.pt
+         LEFT JOIN v{t} u ON u.pair_id = s.pair_id AND u.pt = s.j GROUP BY ALL) p)"""
+        for t in range(_TURNS)
+    ],
+]
+
+
+@query(
+    "compatibility_weights",
+    select(
+        "pair_id, pt, degree, ~support, ~v AS weight",
+        f"""v{_TURNS} JOIN (SELECT pair_id, i AS pt, count(*) FILTER (d <= 0.05) AS degree FROM fit GROUP BY ALL) d USING (pair_id, pt)
+            JOIN (SELECT co.pair_id, co.pt, coalesce(sum(w), 0) AS support FROM co LEFT JOIN second s ON s.pair_id = co.pair_id AND s.i = co.pt GROUP BY ALL) w USING (pair_id, pt)""",
+        _BENT,
+    ),
+)
+def compatibility_weights(spark, sf):
+    """Degrees and second-order weights where the limit rejects a good share; blocks of 32, so that several meet."""
+    matches = _bent(spark, sf)
+    weights = compatibility.compatibility_weights(matches, 0.05, _TURNS, block=32)
+    return weights.join(cloud.compatibility(matches, 0.05), ["pair_id", "pt"]).select("pair_id", "pt", "degree", "support", "weight")
+
+
+@query("compatible_pose", select("pair_id, true AS found", "(SELECT DISTINCT pair_id FROM cl) p", [_CLOUD]))
+def compatible_pose(spark, sf):
+    """Wrong correspondences carry no weight, so the turn behind the others is found."""
+    found = compatibility.compatible_pose(_bent(spark, sf), 0.05, 20)
+    return found.withColumn("true_pose", cloud.pose_of(_QUARTER)).select(
+        "pair_id", (cloud.rotation_error("pose", "true_pose") < 5.0).alias("found")
+    )
+
+
 @query("icp")
 def icp(spark, sf):
     source, target, poses = posed_pairs(spark, sf)

@@ -155,8 +155,8 @@ def padded_centers(spark, sf):
 @query(
     "stream_window_coverage",
     """WITH e AS (SELECT ts, 's' || (user_id % 8) AS sequence, event_id % 7 <> 0 AS rgb, event_id % 5 <> 0 AS th FROM events),
-    w AS (SELECT *, unnest([d, d - 4]) AS day FROM (SELECT *, (epoch(ts) // 345600 * 4)::BIGINT AS d FROM e WHERE rgb OR th) p)
-    SELECT make_timestamptz(day * 86400000000) AS window_start, make_timestamptz((day + 8) * 86400000000) AS window_end, sequence, count(*) AS points,
+    w AS (SELECT *, unnest([d, d - 4]) AS day FROM (SELECT *, (floor(epoch(ts) / 345600) * 4)::BIGINT AS d FROM e WHERE rgb OR th) p)
+    SELECT make_timestamp(day * 86400000000) AS window_start, make_timestamp((day + 8) * 86400000000) AS window_end, sequence, count(*) AS points,
       count(*) FILTER (rgb AND th) AS paired_points, count(*) FILTER (rgb AND NOT th) AS rgb_only_points, count(*) FILTER (NOT rgb AND th) AS thermal_only_points
     FROM w GROUP BY ALL""",
 )
