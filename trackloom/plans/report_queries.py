@@ -665,11 +665,50 @@ def group_overlaps(spark, sf):
     return found.select("window_id", "frame_id", "component", "size", F.size(F.coalesce("matches", F.array())).alias("num_matches"))
 
 
-@query("track_groups")
+# One step names one group of every window: its best match whose id is free in the frame, else the next number.
+_NAMED = """od AS MATERIALIZED (SELECT s.window_id, s.frame_id, s.i, s.component, row_number() OVER (PARTITION BY s.window_id ORDER BY s.i, s.component) AS step,
+    (SELECT list({'o': -overlap, 'p': previous}) FROM mt WHERE mt.window_id = s.window_id AND mt.i = s.i AND mt.component = s.component) AS ms FROM sz s),
+nm AS (SELECT window_id, 0::BIGINT AS step, 0::BIGINT AS i, 0::BIGINT AS cnt, MAP {}::MAP(VARCHAR, VARCHAR) AS prev, MAP {}::MAP(VARCHAR, VARCHAR) AS cur, NULL::INT AS frame_id, NULL::VARCHAR AS component, NULL::VARCHAR AS gid
+    FROM (SELECT DISTINCT window_id FROM od) w
+  UNION ALL
+  SELECT window_id, step, i, CASE WHEN best IS NULL THEN cnt + 1 ELSE cnt END, prev, map_concat(cur, MAP([component], [coalesce(best, 'g' || (cnt + 1))])), frame_id, component, coalesce(best, 'g' || (cnt + 1))
+  FROM (SELECT *, list_sort(list_filter(list_transform(coalesce(ms, []), lambda m: {'o': m.o, 'g': prev[m.p]}), lambda x: NOT list_contains(map_values(cur), x.g)))[1].g AS best
+    FROM (SELECT od.window_id, od.step, od.i, nm.cnt, od.ms, od.frame_id, od.component, CASE WHEN od.i = nm.i THEN nm.prev ELSE nm.cur END AS prev,
+            CASE WHEN od.i = nm.i THEN nm.cur ELSE MAP {}::MAP(VARCHAR, VARCHAR) END AS cur FROM nm JOIN od ON od.window_id = nm.window_id AND od.step = nm.step + 1) j) k),
+nt AS MATERIALIZED (SELECT window_id, i, frame_id, component, gid FROM nm WHERE step > 0),
+mg AS MATERIALIZED (SELECT mt.window_id, a.frame_id, mt.component, a.gid AS target, b.gid AS source FROM mt JOIN nt a ON a.window_id = mt.window_id AND a.i = mt.i AND a.component = mt.component
+    JOIN nt b ON b.window_id = mt.window_id AND b.i = mt.i - 1 AND b.component = mt.previous),
+ev AS MATERIALIZED (SELECT window_id, frame_id, 'merge' AS event_type, list(source ORDER BY source) AS sources, [target] AS targets FROM mg GROUP BY window_id, frame_id, component, target HAVING count(*) > 1
+  UNION ALL SELECT window_id, frame_id, 'split', [source], list(target ORDER BY component) FROM mg GROUP BY window_id, frame_id, source HAVING count(*) > 1)"""
+_IDENTITY = [*_GROUP, _EDGES, _COMPONENTS, _OVERLAPS.replace("SELECT sh.* FROM", "SELECT sh.*, c::DOUBLE / (x.size + y.size - c) AS overlap FROM"), _NAMED]
+
+
+@query(
+    "track_groups",
+    _recursive(
+        select(
+            "nt.window_id, nt.frame_id, component, gid AS group_id, f.id IS NOT NULL AS split_merge",
+            """nt LEFT JOIN (SELECT DISTINCT window_id, frame_id, unnest(list_concat(sources, targets)) AS id FROM ev) f
+                ON f.window_id = nt.window_id AND f.frame_id = nt.frame_id AND f.id = nt.gid""",
+            _IDENTITY,
+        )
+    ),
+)
 def track_groups(spark, sf):
     return tracking.track_groups(materialize(frame_groups(spark, sf)))
 
 
+@query(
+    "group_events",
+    _recursive(
+        select("window_id, frame_id, event_type, array_to_string(sources, ',') AS sources, array_to_string(targets, ',') AS targets", "ev", _IDENTITY)
+    ),
+)
+def group_events(spark, sf):
+    found = tracking.group_events(materialize(frame_groups(spark, sf)))
+    return found.withColumns({c: F.concat_ws(",", c) for c in ("sources", "targets")})
+
+
 def _graph_scores(pts):
     return tracking.graph_track_scores(tracking.graph_frame_scores(pts, 3, 30.0, 60.0))
 
