@@ -35,6 +35,9 @@ CHECKED = [
     "stream_window_coverage",
     "compatibility_weights",
     "compatible_pose",
+    "track_groups",
+    "group_events",
+    "history_change",
     "auroc",
     "best_f1",
 ]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import motion, pairing, quality
+from trackloom.operators import motion, pairing, quality, tracking
+from trackloom.operators.medians import running_medians
 from trackloom.operators.scale import dense_position
 from trackloom.plans import oracle as sql
 from trackloom.plans.registry import query, select
@@ -361,6 +362,36 @@ def velocity(spark, sf):
     )
 
 
+_PAST = "PARTITION BY sample_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _change(value: str, base: str, increase_only: bool) -> str:
+    if increase_only:
+        return f"CASE WHEN {base} IS NULL THEN 0 WHEN {base} <= 0 THEN greatest(0, {value}) ELSE greatest(0, {value} / {base} - 1) END"
+    return f"CASE WHEN {base} IS NULL THEN 0 WHEN {base} <= 0 THEN abs({value} - {base}) ELSE abs({value} / {base} - 1) END"
+
+
+@query(
+    "history_change",
+    select(
+        f"sample_id, frame_id, ~speed_before, ~{_change('coalesce(speed, 0)', 'speed_before', False)} AS speed_change, ~{_change('cx', 'cx_before', True)} AS cx_increase",
+        f"(SELECT *, median(speed) OVER ({_PAST}) AS speed_before, median(cx) OVER ({_PAST}) AS cx_before FROM steps) s",
+        sql.MOTION,
+    ),
+)
+def history_change(spark, sf):
+    """Against the median of all earlier rows of a track; chunks of 500 frames, so that tracks span several."""
+    steps = materialize(motion.track_steps(points(spark, sf)).select("sample_id", "frame_id", "speed", "cx"))
+    rows = running_medians(steps, ["sample_id"], "frame_id", ["speed", "cx"], chunk=500)
+    return rows.select(
+        "sample_id",
+        "frame_id",
+        "speed_before",
+        tracking.history_change(F.coalesce("speed", F.lit(0.0)), F.col("speed_before"), False).alias("speed_change"),
+        tracking.history_change(F.col("cx"), F.col("cx_before"), True).alias("cx_increase"),
+    )
+
+
 @query(
     "track_steps",
     select(
