@@ -38,6 +38,8 @@ CHECKED = [
     "track_groups",
     "group_events",
     "history_change",
+    "stream_track_states",
+    "stream_frame_mass",
     "auroc",
     "best_f1",
 ]

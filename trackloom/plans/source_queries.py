@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import evaluate, motion, protocol, ranks, registry, report, windows
+from trackloom.operators import detectors, evaluate, motion, protocol, ranks, registry, report, windows
 from trackloom.plans import oracle as sql
 from trackloom.plans.detector_queries import points
 from trackloom.plans.protocol_queries import _HAND, METHODS, FRACTION, injected
@@ -15,7 +15,7 @@ from trackloom.session import materialize, shared_dir
 from trackloom.sources import readers, sinks
 from trackloom.sources.documents import assemble_windows
 from trackloom.sources.tables import observations, read_table
-from trackloom.streaming import live
+from trackloom.streaming import live, state
 
 
 def scratch(spark, suffix: str = "") -> str:
@@ -180,6 +180,45 @@ def stream_track_changes(spark, sf):
     return live.run_to_table(live.track_changes(live.event_stream(spark, sf)))
 
 
+@query(
+    "stream_track_states",
+    select(
+        """sample_id, event_id, ~coalesce(step, 0) AS step, ~coalesce(step / greatest(event_id - before, 1), 0) AS speed,
+           ~CASE WHEN base IS NULL THEN 0 WHEN base <= 0 THEN abs(step - base) ELSE abs(step / base - 1) END AS change""",
+        """(SELECT *, median(step) OVER (PARTITION BY sample_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM
+            (SELECT *, sqrt((cx - lag(cx) OVER t)^2 + (cy - lag(cy) OVER t)^2) AS step, lag(event_id) OVER t AS before FROM
+              (SELECT sample_id, event_id, CASE WHEN rgb_cx IS NOT NULL AND thermal_cx IS NOT NULL THEN (rgb_cx + thermal_cx) / 2 ELSE coalesce(rgb_cx, thermal_cx) END AS cx,
+                      CASE WHEN rgb_cy IS NOT NULL AND thermal_cy IS NOT NULL THEN (rgb_cy + thermal_cy) / 2 ELSE coalesce(rgb_cy, thermal_cy) END AS cy
+               FROM raw WHERE rgb_cx IS NOT NULL OR thermal_cx IS NOT NULL) p WINDOW t AS (PARTITION BY sample_id ORDER BY event_id)) s) m""",
+        [sql.RAW],
+    ),
+)
+def stream_track_states(spark, sf):
+    """Step, speed and change of every detection from keyed state with a count per step length."""
+    with state.stored(spark):
+        return live.run_to_table(state.track_states(live.event_stream(spark, sf)))
+
+
+@query(
+    "stream_frame_mass",
+    select(
+        "make_timestamp(day * 86400000000) AS window_start, make_timestamp((day + 8) * 86400000000) AS window_end, sequence, count(*) AS points, ~sum(share) AS mass",
+        """(SELECT *, unnest([d, d - 4]) AS day FROM (SELECT (floor(epoch(ts) / 345600) * 4)::BIGINT AS d, 's' || (user_id % 8) AS sequence, 's' || (user_id % 8) || ':' || user_id AS sample_id
+             FROM events WHERE event_id % 7 <> 0 OR event_id % 5 <> 0) e JOIN (SELECT sample_id, score / n AS share FROM ind JOIN
+               (SELECT sample_id, count(*) AS n FROM fused GROUP BY ALL) c USING (sample_id)) s USING (sample_id)) w""",
+        sql.SIMPLE,
+        "GROUP BY day, sequence",
+    ),
+)
+def stream_frame_mass(spark, sf):
+    """Every detection carries an equal share of its track's score into its windows."""
+    pts = points(spark, sf)
+    scores = detectors.simple_track_scores(pts, with_events=False).select("sample_id", "score")
+    counts = pts.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    shares = scores.join(counts, "sample_id").select("sample_id", (F.col("score") / F.col("n")).alias("share"))
+    return live.finished_mass(spark, sf, materialize(shares))
+
+
 # ------------------------------------------------------------------ registries
 def _registry(spark, sf):
     """Suppliers stand for registered methods, their nation for the task."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import numpy as np
@@ -74,6 +74,22 @@ def window_coverage(points: DataFrame, size: str = "8 days", slide: str = "4 day
     )
 
 
+def window_mass(points: DataFrame, shares: DataFrame, size: str = "8 days", slide: str = "4 days", late: str | None = "1 day") -> DataFrame:
+    """Score mass per sequence and sliding time window of a stream joined with a table of shares (sample_id, share).
+
+    A detection that arrives again within the watermark counts once; tracks without a share carry none.  The same code runs on a
+    stream and, with ``late=None``, on a finished table.
+    """
+    if late is None:
+        rows = points.dropDuplicates(["event_id"])
+    else:
+        rows = points.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    mass = rows.join(shares, "sample_id").groupBy(F.window("ts", size, slide).alias("w"), "sequence").agg(
+        F.sum("share").alias("mass"), F.count(F.lit(1)).alias("points")
+    )
+    return mass.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sequence", "points", "mass")
+
+
 STATE = "x double, y double, history array<double>"
 CHANGES = "sample_id string, event_id long, step double, change double"
 
@@ -153,17 +169,27 @@ def _base(spark: SparkSession) -> str:
 
 
 def finished_coverage(spark: SparkSession, folder: str, **windows: str) -> DataFrame:
-    """``window_coverage`` of a stream that has ended, with the windows that were still open at its end.
+    """``window_coverage`` of a stream that has ended, with the windows that were still open at its end."""
+    return finished(event_stream(spark, folder), lambda points: window_coverage(points, **windows))
+
+
+def finished_mass(spark: SparkSession, folder: str, shares: DataFrame, **windows: str) -> DataFrame:
+    """``window_mass`` of a stream that has ended."""
+    return finished(event_stream(spark, folder), lambda points: window_mass(points, shares, **windows))
+
+
+def finished(points: DataFrame, windowed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A windowed aggregate of a stream that has ended.
 
     The points flow together with a stream of end marks.  After the points a mark far in the future moves the watermark
     past all windows, so a second run of the same query emits the rest; the mark's own windows stay open.
     """
+    spark = points.sparkSession
     base = _base(spark)
-    points = event_stream(spark, folder)
     marks = f"{base}/marks"
     spark.createDataFrame([], points.schema).write.parquet(marks)
     ends = spark.readStream.schema(points.schema).parquet(marks)
-    counted = window_coverage(points.unionByName(ends), **windows)
+    counted = windowed(points.unionByName(ends))
     run_to_table(counted, base)
     end = points.schema.fieldNames().index("ts")
     row = [None] * len(points.schema)
