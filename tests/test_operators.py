@@ -182,6 +182,27 @@ def test_star_components_and_small_components_agree(spark):
     assert {small[f"p{i:02d}"] for i in range(31)} == {"p00"}
 
 
+@pytest.mark.parametrize("pivots", [1, 7])
+def test_knn_outside_and_inside_a_radius(spark, pivots):
+    """Cells are skipped by neighbours that count, so a bound never rests on a row inside the excluded radius."""
+    rng = np.random.default_rng(5)
+    middle = rng.normal(0, 4, (6, 2))
+    vectors = middle[rng.integers(0, 6, 160)] + rng.normal(0, 0.3, (160, 2))
+    places = vectors[:, :1] * 2 + rng.normal(0, 1, (160, 1))
+    rows = [(i, [float(x) for x in v], [float(x) for x in p]) for i, (v, p) in enumerate(zip(vectors, places))]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, place array<double>")
+    for how in ({"apart": 3.0}, {"within": 2.0}):
+        got = {}
+        for r in knn.knn_join(df, df, 3, exclude_self=True, block=16, chunk=10, pivots=pivots, **how).collect():
+            got.setdefault(r["query_id"], []).append(r["neighbor_id"])
+        for i in range(160):
+            gap = np.abs(places[:, 0] - places[i, 0])
+            allowed = gap > 3.0 if "apart" in how else gap <= 2.0
+            d = np.linalg.norm(vectors - vectors[i], axis=1)
+            want = sorted((d[j], j) for j in range(160) if allowed[j] and j != i)[:3]
+            assert sorted(got.get(i, [])) == sorted(j for _, j in want)
+
+
 def test_group_split_keeps_id(spark):
     rows = [("w", 1, m, "a") for m in "abc"] + [("w", 2, "a", "a"), ("w", 2, "b", "a"), ("w", 2, "c", "c")]
     df = spark.createDataFrame(rows, "window_id string, frame_id int, track_id string, component string")

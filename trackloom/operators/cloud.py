@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators import nearest
 from trackloom.operators.protocol import hash_order
 from trackloom.operators.retrieval import uniform_hash
 from trackloom.operators.scale import percentiles
@@ -72,9 +73,27 @@ def pose_of(rows: Sequence[Sequence[float]]) -> Column:
     return F.array(*[F.lit(float(v)) for row in rows for v in row])
 
 
-def nearest_points(source: DataFrame, target: DataFrame, block: int = NEAR_BLOCK, axes: Sequence[str] = tuple(AXES)) -> DataFrame:
+def nearest_points(
+    source: DataFrame, target: DataFrame, block: int = NEAR_BLOCK, axes: Sequence[str] = tuple(AXES), few: int = nearest.FEW
+) -> DataFrame:
     """Nearest target point of every source point of a pair: ``near`` (d2, pt, x, y, z).
 
+    Pairs of more than ``few`` target points (counted) are searched in voxel rings; blocks of the others, and of points that no ring
+    settles, meet all at once.  Of equally near points the one with the lesser ``pt`` is taken.
+    """
+    sizes = target.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(sizes.where(F.col("_n") > few).select("pair_id"))
+    if large.isEmpty():
+        return _nearest_in_blocks(source, target, block, axes)
+    far, near_ = source.join(large, "pair_id", "left_semi"), source.join(large, "pair_id", "left_anti")
+    done, left = nearest.in_rings(far, target.join(large, "pair_id", "left_semi"), axes)
+    rest = near_.select("pair_id", "pt", *axes).unionByName(left)
+    return done.unionByName(_nearest_in_blocks(materialize(rest), target, block, axes))
+
+
+def _nearest_in_blocks(source: DataFrame, target: DataFrame, block: int, axes: Sequence[str]) -> DataFrame:
+    """Every source block of a pair meets every target block.
+
     Clouds are packed into hash blocks of bounded size; source and target blocks of
     a pair meet on an equi key and reduce to one candidate per source point at
     once.  A large pair spreads over (blocks x blocks) tasks.
@@ -238,7 +257,7 @@ def kabsch(matches: DataFrame) -> DataFrame:
 
 
 def icp(
-    source: DataFrame, target: DataFrame, rounds: int = 20, keep: float = 1.0, tolerance: float = 1e-6
+    source: DataFrame, target: DataFrame, rounds: int = 20, keep: float = 1.0, tolerance: float = 1e-6, few: int = nearest.FEW
 ) -> DataFrame:
     """Point-to-point ICP of all pairs at once (trimmed when keep < 1).
 
@@ -253,7 +272,7 @@ def icp(
     done = None
     for turn in range(1, rounds + 1):
         moved = apply_pose(source.join(state.select("pair_id", "pose"), "pair_id"))
-        near = materialize(nearest_points(moved.select("pair_id", "pt", *AXES), target))
+        near = materialize(nearest_points(moved.select("pair_id", "pt", *AXES), target, few=few))
         flat = near.select("pair_id", "pt", *AXES, F.col("near.d2").alias("d2"), *[F.col(f"near.{a}").alias(f"t{a}") for a in AXES])
         if keep < 1.0:
             flat = _closest_share(flat, "d2", keep)

@@ -1,10 +1,11 @@
 """Exact k-nearest-neighbour join of two vector tables.
 
-The base table is split into Voronoi cells of a bounded number of pivots; the
-triangle inequality tells which cells can hold a neighbour of a query, so most
-cells are skipped when the data has structure, and none is skipped wrongly.  Cells
-are cut into blocks of bounded size and queries into chunks; a (chunk, block) row
-is the unit of work for a NumPy kernel that keeps only the k best.
+The base table is split into Voronoi cells of a bounded number of pivots.  A query
+searches its own cell first; the k-th distance found there bounds, by the triangle
+inequality, the other cells that can still hold a neighbour, and only to those it
+goes in a second turn.  None is skipped wrongly.  Cells are cut into blocks of
+bounded size and queries into chunks; a (chunk, block) row is the unit of work for
+a NumPy kernel that keeps only the k best.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.session import materialize
+
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 256
 MAX_PIVOTS = 256
@@ -68,92 +71,100 @@ def knn_join(
 
     Both inputs have columns ``id`` and ``vector`` and should be materialised.  With
     ``apart`` (or ``within``) they also have ``place``, and only neighbours more
-    than (at most) that far from the query's place count; cells are then not
-    skipped, since the skipping bound may rest on a row that does not count.
+    than (at most) that far from the query's place count.  The bound of a query
+    rests on neighbours that count, so cells are skipped all the same.
     """
     placed = apart is not None or within is not None
-    if placed:
-        pivots = 1
     id_type = base.schema["id"].dataType
     count = base.count()
     n_pivots = pivots if pivots is not None else int(min(MAX_PIVOTS, max(1, count // (4 * block))))
-    want = k + (1 if exclude_self else 0)
+
+    def search(routed: DataFrame, cells: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        """The k best of every (query, block) of the cells that each row of ``routed`` names."""
+        blocks = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))])
+        per_cell = {r["_cell"]: r["n"] for r in routed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not per_cell:
+            per_cell = {0: 1}
+        chunks = F.create_map(*[F.lit(x) for c, n in per_cell.items() for x in (c, -(-n // chunk))])
+
+        body = F.struct("id", "vector", *(["place"] if placed else []))
+        right = (
+            cells.withColumn("_block", F.pmod(F.xxhash64("id"), blocks[F.col("_cell")]).cast("int"))
+            .groupBy("_cell", "_block")
+            .agg(F.collect_list(body).alias("b"))
+        )
+        left = (
+            routed.withColumn("_chunk", F.pmod(F.xxhash64("id"), chunks[F.col("_cell")]).cast("int"))
+            .groupBy("_cell", "_chunk")
+            .agg(F.collect_list(body).alias("q"))
+            .withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks[F.col("_cell")] - 1).cast("int"))))
+        )
+        pairs = left.join(right, ["_cell", "_block"]).select("q", "b")
+        schema = T.StructType(
+            [
+                T.StructField("query_id", queries.schema["id"].dataType),
+                T.StructField("neighbor_id", id_type),
+                T.StructField("distance", T.DoubleType()),
+            ]
+        )
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    q = batch.column(0)[row].values
+                    b = batch.column(1)[row].values
+                    q_ids, b_ids = q.field(0), b.field(0)
+                    names = b_ids.to_pylist()
+                    dist = _distances(_matrix(q.field(1)), _matrix(b.field(1)))
+                    if exclude_self:
+                        where = {name: i for i, name in enumerate(names)}
+                        same = np.array([where.get(x, -1) for x in q_ids.to_pylist()])
+                        dist[np.flatnonzero(same >= 0), same[same >= 0]] = np.inf
+                    if placed:
+                        gap = _distances(_matrix(q.field(2)), _matrix(b.field(2)))
+                        if apart is not None:
+                            dist[gap <= apart] = np.inf
+                        if within is not None:
+                            dist[gap > within] = np.inf
+                    keep = min(k, dist.shape[1])
+                    limit = np.partition(dist, keep - 1, axis=1)[:, keep - 1]
+                    rows, cols = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+                    place = np.empty(len(names), np.int64)
+                    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                    order = np.lexsort((place[cols], dist[rows, cols], rows))
+                    rows, cols = rows[order], cols[order]
+                    first = np.searchsorted(rows, rows)
+                    best = np.arange(len(rows)) - first < keep
+                    rows, cols = rows[best], cols[best]
+                    values = dist[rows, cols]
+                    yield pa.RecordBatch.from_arrays(
+                        [q_ids.take(pa.array(rows, pa.int64())), b_ids.take(pa.array(cols, pa.int64())), pa.array(values, pa.float64())],
+                        names=["query_id", "neighbor_id", "distance"],
+                    )
+
+        return pairs.mapInArrow(kernel, schema)
+
+    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     if n_pivots <= 1 or count == 0:
         cells = base.withColumn("_cell", F.lit(0))
         sizes = {0: max(count, 1)}
-        routed = queries.withColumn("_cell", F.lit(0))
-    else:
-        cells, sizes, routed = _route(queries, base, n_pivots, want)
-
-    blocks = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))])
-    per_cell = {r["_cell"]: r["n"] for r in routed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not per_cell:
-        per_cell = {0: 1}
-    chunks = F.create_map(*[F.lit(x) for c, n in per_cell.items() for x in (c, -(-n // chunk))])
-
-    body = F.struct("id", "vector", *(["place"] if placed else []))
-    right = (
-        cells.withColumn("_block", F.pmod(F.xxhash64("id"), blocks[F.col("_cell")]).cast("int"))
-        .groupBy("_cell", "_block")
-        .agg(F.collect_list(body).alias("b"))
-    )
-    left = (
-        routed.withColumn("_chunk", F.pmod(F.xxhash64("id"), chunks[F.col("_cell")]).cast("int"))
-        .groupBy("_cell", "_chunk")
-        .agg(F.collect_list(body).alias("q"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), (blocks[F.col("_cell")] - 1).cast("int"))))
-    )
-    pairs = left.join(right, ["_cell", "_block"]).select("q", "b")
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["id"].dataType),
-            T.StructField("neighbor_id", id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                q = batch.column(0)[row].values
-                b = batch.column(1)[row].values
-                q_ids, b_ids = q.field(0), b.field(0)
-                names = np.array(b_ids.to_pylist(), dtype=object)
-                own = np.array(q_ids.to_pylist(), dtype=object)
-                dist = _distances(_matrix(q.field(1)), _matrix(b.field(1)))
-                if exclude_self:
-                    dist[own[:, None] == names[None, :]] = np.inf
-                if placed:
-                    gap = _distances(_matrix(q.field(2)), _matrix(b.field(2)))
-                    if apart is not None:
-                        dist[gap <= apart] = np.inf
-                    if within is not None:
-                        dist[gap > within] = np.inf
-                keep = min(k, dist.shape[1])
-                limit = np.partition(dist, keep - 1, axis=1)[:, keep - 1]
-                rows, cols, values = [], [], []
-                for i in range(len(dist)):
-                    near = np.nonzero((dist[i] <= limit[i]) & np.isfinite(dist[i]))[0]
-                    near = sorted(near, key=lambda j, i=i: (dist[i, j], names[j]))[:keep]
-                    rows += [i] * len(near)
-                    cols += list(near)
-                    values += [dist[i, j] for j in near]
-                yield pa.RecordBatch.from_arrays(
-                    [q_ids.take(pa.array(rows, pa.int64())), b_ids.take(pa.array(cols, pa.int64())), pa.array(values, pa.float64())],
-                    names=["query_id", "neighbor_id", "distance"],
-                )
-
-    found = pairs.mapInArrow(kernel, schema)
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return ranked(search(queries.withColumn("_cell", F.lit(0)), cells, sizes))
+    cells, sizes, own, others = _route(queries, base, n_pivots)
+    first = materialize(ranked(search(own, cells, sizes)).drop("rank"))
+    # fewer than k neighbours in the own cell bound nothing
+    reach = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_reach"))
+    again = materialize(others(own.join(reach, own["id"] == reach["query_id"], "left").drop("query_id")))
+    return ranked(first.unionByName(search(again, cells, sizes)))
 
 
-def _route(queries: DataFrame, base: DataFrame, n_pivots: int, want: int):
-    """Cell of each base row, cell sizes, and queries repeated per reachable cell.
+def _route(queries: DataFrame, base: DataFrame, n_pivots: int):
+    """Cell of each base row, cell sizes, the own cell of each query, and what sends queries with a reach to other cells.
 
-    The driver sees the pivots and, per cell, its size, radius and ``want`` smallest
-    pivot distances: at most n_pivots * (dimension + want) numbers.
+    The driver sees the pivots and, per cell, its size and radius.
     """
     picked = base.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vector").collect()
     centers = np.unique(np.array([r["vector"] for r in picked], dtype=float), axis=0)
@@ -164,33 +175,32 @@ def _route(queries: DataFrame, base: DataFrame, n_pivots: int, want: int):
         cell = dist.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "distance": dist[np.arange(len(cell)), cell]})
 
+    carried = [c for c in ("id", "vector", "place") if c in base.columns]
     placed = base.withColumn("_p", nearest("vector")).select(
-        "id", "vector", F.col("_p.cell").alias("_cell"), F.col("_p.distance").alias("_d")
+        *carried, F.col("_p.cell").alias("_cell"), F.col("_p.distance").alias("_d")
     )
+    placed = materialize(placed)
     stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("radius")).collect()
-    closest = Window.partitionBy("_cell").orderBy("_d", "id")
-    heads = (
-        placed.select("_cell", "_d", F.row_number().over(closest).alias("_rn"))
-        .where(F.col("_rn") <= want)
-        .select("_cell", "_d")
-        .collect()
-    )
     live = np.array(sorted(r["_cell"] for r in stats))
     radius = np.array([{r["_cell"]: r["radius"] for r in stats}[c] for c in live])
-    head_cell = np.searchsorted(live, np.array([r["_cell"] for r in heads]))
-    head_dist = np.array([r["_d"] for r in heads])
+
+    @F.pandas_udf("int")
+    def own_cell(vectors: pd.Series) -> pd.Series:
+        return pd.Series(live[_distances(np.stack(vectors.to_numpy()), centers[live]).argmin(axis=1)].astype("int32"))
 
     @F.pandas_udf("array<int>")
-    def reachable(vectors: pd.Series) -> pd.Series:
-        dist = _distances(np.stack(vectors.to_numpy()), centers[live])
-        upper = np.sort(dist[:, head_cell] + head_dist[None, :], axis=1)
-        bound = upper[:, want - 1] if upper.shape[1] >= want else np.full(len(dist), np.inf)
-        lower = dist - radius[None, :]
-        hit = lower <= (bound * (1 + SLACK) + SLACK)[:, None]
+    def reachable(vectors: pd.Series, own: pd.Series, reach: pd.Series) -> pd.Series:
+        lower = _distances(np.stack(vectors.to_numpy()), centers[live]) - radius[None, :]
+        bound = reach.fillna(np.inf).to_numpy(dtype=float)
+        hit = (lower <= (bound * (1 + SLACK) + SLACK)[:, None]) & (live[None, :] != own.to_numpy()[:, None])
         return pd.Series([live[h].astype("int32") for h in hit])
 
-    routed = queries.withColumn("_cell", F.explode(reachable("vector")))
-    return placed.drop("_d"), {int(r["_cell"]): int(r["n"]) for r in stats}, routed
+    own = materialize(queries.select(*carried, own_cell("vector").alias("_cell")))
+
+    def others(asking: DataFrame) -> DataFrame:
+        return asking.select(*carried, F.explode(reachable("vector", "_cell", "_reach")).alias("_cell"))
+
+    return placed.drop("_d"), {int(r["_cell"]): int(r["n"]) for r in stats}, own, others
 
 
 def mean_neighbour_distance(neighbours: DataFrame) -> DataFrame:
@@ -203,8 +213,6 @@ def local_outlier_factors(train: DataFrame, queries: DataFrame, k: int = 20) ->
     k is at most training size - 1.  Two kNN joins; reachability distances and
     densities are joins and averages.
     """
-    from trackloom.session import materialize
-
     k = max(1, min(k, train.count() - 1))
     inner = materialize(knn_join(train, train, k, exclude_self=True))
     reach_of = inner.groupBy("query_id").agg(F.max("distance").alias("kdist")).withColumnRenamed("query_id", "neighbor_id")

@@ -420,6 +420,39 @@ def icp(spark, sf):
     )
 
 
+# four degrees about z and a small shift
+_NUDGE = [[0.9975640502598242, -0.0697564737441253, 0, 0.01], [0.0697564737441253, 0.9975640502598242, 0, -0.008], [0, 0, 1, 0.005]]
+
+
+def _nudged(spark, sf):
+    source = materialize(clouds(spark, sf))
+    target = cloud.apply_pose(source.withColumn("pose", cloud.pose_of(_NUDGE))).drop("pose").withColumn("side", F.lit("target"))
+    return source, materialize(target)
+
+
+def _recovered(found):
+    return found.withColumn("true_pose", cloud.pose_of(_NUDGE)).select(
+        "pair_id",
+        (cloud.rotation_error("pose", "true_pose") < 0.05).alias("found"),
+        (cloud.translation_error("pose", "true_pose") < 0.001).alias("placed"),
+    )
+
+
+@query("icp_small_motion", select("pair_id, true AS found, true AS placed", "(SELECT DISTINCT pair_id FROM cl) p", [_CLOUD]))
+def icp_small_motion(spark, sf):
+    """A motion smaller than the gaps between points is found exactly; clouds over 20 points go by voxel rings."""
+    source, target = _nudged(spark, sf)
+    return _recovered(cloud.icp(source, target, rounds=12, few=20))
+
+
+@query("trimmed_icp", select("pair_id, true AS found, true AS placed", "(SELECT DISTINCT pair_id FROM cl) p", [_CLOUD]))
+def trimmed_icp(spark, sf):
+    """Some target points lie elsewhere, so the closest 0.7 of the source decide."""
+    source, target = _nudged(spark, sf)
+    astray = F.when(F.col("pt") % 10 == 1, F.col("x") + 3.0).otherwise(F.col("x"))
+    return _recovered(cloud.icp(source, target.withColumn("x", astray), rounds=20, keep=0.7, few=20))
+
+
 def pair_table(spark, sf):
     """Two methods on every pair: exact correspondences and the untouched start pose."""
     source, target, poses, pairs = _matches(spark, sf)
