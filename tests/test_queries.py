@@ -40,6 +40,8 @@ CHECKED = [
     "history_change",
     "stream_track_states",
     "stream_frame_mass",
+    "hardest_negatives_second_turn",
+    "trimmed_icp",
     "auroc",
     "best_f1",
 ]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.knn import knn_join
+from trackloom.session import materialize
 
 RECALL_AT = (1, 5, 10, 20)
 
@@ -94,6 +95,38 @@ def hardest_negatives(queries: DataFrame, base: DataFrame, radius: float = 25.0,
     return knn_join(queries, base, k, exclude_self=True, apart=radius)
 
 
+def mining_turn(
+    queries: DataFrame,
+    base: DataFrame,
+    earlier: DataFrame | None,
+    turn: int,
+    samples: int,
+    radius: float = 25.0,
+    k: int = 10,
+    seed: int = 42,
+) -> DataFrame:
+    """The hardest negatives of every query after one more turn: ``query_id, neighbor_id, distance, rank``.
+
+    A turn draws ``samples`` base rows by hash of seed and turn, takes the k nearest of them outside the radius, and sets them against the
+    negatives kept from the turn before, whose distances are taken anew since features change between turns.  The result
+    (at most k rows a query) is the ``earlier`` of the next turn; write it once.
+    """
+    drawn = materialize(base.orderBy(uniform_hash(seed, F.lit(turn), F.col("id")), "id").limit(samples))
+    found = hardest_negatives(queries, drawn, radius, k).drop("rank")
+    if earlier is not None:
+        squares = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        kept = (
+            earlier.select("query_id", "neighbor_id")
+            .join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("_a")), "query_id")
+            .join(base.select(F.col("id").alias("neighbor_id"), F.col("vector").alias("_b")), "neighbor_id")
+            .select("query_id", "neighbor_id", F.sqrt(squares).alias("distance"))
+        )
+        # a negative found again has the same distance up to rounding
+        found = found.unionByName(kept).groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def uniform_hash(seed: int, *keys: Column) -> Column:
     """A reproducible uniform number in (0, 1) from the md5 of seed and keys."""
     text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])

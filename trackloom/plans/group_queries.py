@@ -420,6 +420,34 @@ def hardest_negatives(spark, sf):
     return retrieval.hardest_negatives(table, table)
 
 
+_HALF = _L2.replace("a.v,", "a.v[1:32],").replace("b.v)", "b.v[1:32])")
+_TURNS = [
+    *[f"d{t} AS (SELECT id FROM emb ORDER BY substr(md5('42:{t}:' || id), 1, 12), id LIMIT 150)" for t in (1, 2)],
+    """old AS (SELECT query_id, neighbor_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rn FROM sims
+        WHERE gap > 25 AND neighbor_id IN (SELECT id FROM d1)) s WHERE rn <= 10)""",
+    f"""half AS (SELECT a.id AS query_id, b.id AS neighbor_id, {_HALF} AS distance, sqrt((a.x - b.x)^2 + (a.y - b.y)^2) AS gap FROM emb a JOIN emb b ON a.id <> b.id)""",
+    """pool AS (SELECT h.query_id, h.neighbor_id, h.distance FROM half h LEFT JOIN old o USING (query_id, neighbor_id)
+        WHERE o.query_id IS NOT NULL OR (gap > 25 AND neighbor_id IN (SELECT id FROM d2)))""",
+]
+
+
+@query(
+    "hardest_negatives_second_turn",
+    select(
+        "query_id, neighbor_id, ~distance, rank",
+        "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM pool) s",
+        [_EMB, _TOPK, *_TURNS],
+        "WHERE rank <= 10",
+    ),
+)
+def hardest_negatives_second_turn(spark, sf):
+    """Two turns over different draws; in the second the features are the first half of the vectors."""
+    table = vectors(spark, sf)
+    first = materialize(retrieval.mining_turn(table, table, None, 1, 150))
+    changed = table.withColumn("vector", F.slice("vector", 1, 32))
+    return retrieval.mining_turn(changed, changed, first, 2, 150)
+
+
 def _crop_sql(name: str, part: str) -> str:
     return f"""{name} AS (SELECT * FROM (SELECT query_id, neighbor_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rn
   FROM (SELECT a.id AS query_id, b.id AS neighbor_id,
