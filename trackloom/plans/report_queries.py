@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackloom.operators import (
@@ -10,6 +12,7 @@ from trackloom.operators import (
     evaluate,
     events,
     groups,
+    matrix,
     motion,
     neighbours,
     protocol,
@@ -22,9 +25,9 @@ from trackloom.operators import (
 from trackloom.plans import oracle as sql
 from trackloom.plans.detector_queries import points, steps, train_score
 from trackloom.plans.group_queries import _EDGES, _GROUP, moving_points, vectors
-from trackloom.plans.protocol_queries import _ALIGNED, _CURVE, _EVAL, _GROUP_INJECT, _HAND, _PK, _SCORES, FRACTION, METHODS, injected, scored
+from trackloom.plans.protocol_queries import _ALIGNED, _CURVE, _EVAL, _GROUP_INJECT, _HAND, _INJECTED, _PK, _SCORES, FRACTION, METHODS, injected, scored
 from trackloom.plans.registry import query, select
-from trackloom.session import materialize
+from trackloom.session import materialize, shared_dir
 from trackloom.sources.tables import observations, raw_detections
 
 
@@ -211,18 +214,69 @@ def seed_runs(spark, sf):
     return materialize(evaluate.curve_metrics(aligned, ["method", "seed"]))
 
 
-@query("seed_summary")
+def _seed_sql(seed: int) -> str:
+    """Curve figures of every method under one injection seed."""
+    ctes = [c.replace("'42:", f"'{seed}:") for c in [*_INJECTED, sql.STEPS, sql.HANDCRAFTED, *sql.SIMPLE[len(sql.MOTION) :]]]
+    ctes.append(_SCORES.removesuffix(")") + " UNION ALL SELECT sample_id, 'simple', round(score, 9) FROM ind)")
+    columns = f"""{seed}::INT AS seed, method, sum(pos * ((total - p) - (predicted - tp) + (n - pos) / 2)) / (max(p) * (max(total) - max(p))) AS auroc, sum(pos * tp / predicted) / max(p) AS auprc,
+        arg_max(2.0::DOUBLE * tp / (predicted + p), (round(2.0::DOUBLE * tp / (predicted + p), 12), score)) AS f1, max(p)::BIGINT AS num_positive, max(total)::BIGINT AS num_total"""
+    return "SELECT * FROM (WITH " + ",\n".join([*ctes, _ALIGNED, _CURVE]) + f" SELECT {columns} FROM cur GROUP BY method) s{seed}"
+
+
+_RUNS = "runs AS MATERIALIZED (" + " UNION ALL ".join(_seed_sql(s) for s in SEEDS) + ")"
+_THREE = ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std" for m in ("auroc", "auprc", "f1"))
+_SUMMARY = f"""summary AS (SELECT method, count(*) AS num_runs, string_agg(seed::VARCHAR, ',' ORDER BY seed) AS seeds, {_THREE} FROM runs
+  WHERE method IN ({", ".join(repr(m) for m in METHODS)}) GROUP BY method)"""
+
+
+@query(
+    "matrix_run",
+    select("'track' AS level, seed, method, ~auroc, ~auprc, ~f1, num_positive, num_total", "runs", [_RUNS]),
+)
+def matrix_run(spark, sf):
+    """Registered detectors under three seeds, scores committed part by part, metrics in one job."""
+    folder = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    named = {"track": {"simple": ("simple", {}), **{m: ("feature", {"column": m}) for m in METHODS}}}
+    matrix.run({"track": points(spark, sf)}, named, SEEDS, folder, FRACTION)
+    return matrix.metrics(spark, folder).select("level", "seed", "method", "auroc", "auprc", "f1", "num_positive", "num_total")
+
+
+@query(
+    "seed_summary",
+    select(
+        "method, num_runs, seeds, ~auroc_mean, ~auroc_std, ~auprc_mean, ~auprc_std, ~f1_mean, ~f1_std", "summary", [_RUNS, _SUMMARY]
+    ),
+)
 def seed_summary(spark, sf):
     return report.seed_summary(seed_runs(spark, sf), ["auroc", "auprc", "f1"], ["method"])
 
 
-@query("best_by_metric")
+@query(
+    "best_by_metric",
+    select(
+        "metric, method, num_runs, ~mean, ~std",
+        "("
+        + " UNION ALL ".join(
+            f"(SELECT '{m}' AS metric, method, num_runs, {m}_mean AS mean, {m}_std AS std FROM summary ORDER BY {m}_mean DESC, method LIMIT 1)"
+            for m in ("auroc", "auprc", "f1")
+        )
+        + ") b",
+        [_RUNS, _SUMMARY],
+    ),
+)
 def best_by_metric(spark, sf):
     summary = report.seed_summary(seed_runs(spark, sf), ["auroc", "auprc", "f1"], ["method"])
     return report.best_by_metric(summary, ["auroc", "auprc", "f1"])
 
 
-@query("report_table")
+@query(
+    "report_table",
+    select(
+        "method, " + ", ".join(f"format('{{:.4f}} +/- {{:.4f}}', {m}_mean, {m}_std) AS {m}" for m in ("auroc", "auprc", "f1")),
+        "summary",
+        [_RUNS, _SUMMARY],
+    ),
+)
 def report_table(spark, sf):
     summary = report.seed_summary(seed_runs(spark, sf), ["auroc", "auprc", "f1"], ["method"])
     return report.report_table(report.rank_rows(summary), ["auroc", "auprc", "f1"])
