@@ -41,6 +41,8 @@ CHECKED = [
     "stream_track_states",
     "stream_frame_mass",
     "hardest_negatives_second_turn",
+    "seed_summary",
+    "holdout_metrics",
     "trimmed_icp",
     "auroc",
     "best_f1",

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import detectors, evaluate, motion, protocol, ranks, registry, report, windows
+from trackloom.operators import detectors, evaluate, matrix, motion, protocol, ranks, registry, report, windows
 from trackloom.plans import oracle as sql
 from trackloom.plans.detector_queries import points
-from trackloom.plans.protocol_queries import _HAND, METHODS, FRACTION, injected
+from trackloom.plans.protocol_queries import _CURVE, _HAND, _INJECTED, FRACTION, METHODS, injected
 from trackloom.plans.registry import query, select
 from trackloom.session import materialize, shared_dir
 from trackloom.sources import readers, sinks
@@ -315,20 +315,68 @@ def score_grid(spark, sf):
     return evaluate.curve_metrics(grid.join(labels.select("sample_id", "label"), "sample_id")).select("method", "auroc")
 
 
-@query("holdout_protocol")
-def holdout_protocol(spark, sf):
-    """Training and evaluation parts injected and labelled each on its own."""
+def _apart(ctes: list[str]) -> list[str]:
+    """The injection SQL with the tracks of each split drawn on their own."""
+    out = []
+    for c in ctes:
+        if c.startswith("poslab AS"):
+            c = c.replace("OVER (ORDER BY md5", "OVER (PARTITION BY split ORDER BY md5").replace("count(*) OVER () AS total FROM trk", "count(*) OVER (PARTITION BY split) AS total FROM trk JOIN split USING (sequence)")
+        out.append(c)
+    return [*out[:2], sql.SPLIT, *out[2:]]
+
+
+def _holdout(spark, sf):
+    """Points of the two splits, each disturbed on its own, and their complete labels."""
     pts = points(spark, sf)
     split = materialize(protocol.split_sequences(pts))
-    parts = []
+    parts = {}
     for name in ("train", "val"):
         mine = materialize(protocol.split_rows(pts, split).where(F.col("split") == name).drop("split"))
         out, positives = protocol.inject_track_anomalies(mine, FRACTION)
-        labels = protocol.complete_labels(protocol.track_keys(out), positives)
-        parts.append(report.label_distribution(labels).withColumn("split", F.lit(name)))
+        parts[name] = mine, out, materialize(protocol.complete_labels(protocol.track_keys(out), positives))
+    return parts
+
+
+@query(
+    "holdout_protocol",
+    select(
+        "coalesce(anomaly_type, '*') AS anomaly_type, split, count(*) AS num_rows, sum(label)::BIGINT AS num_positive",
+        "lab JOIN split USING (sequence)",
+        _apart(_INJECTED),
+        "GROUP BY GROUPING SETS ((split, anomaly_type), (split))",
+    ),
+)
+def holdout_protocol(spark, sf):
+    """Training and evaluation parts injected and labelled each on its own."""
+    parts = [report.label_distribution(labels).withColumn("split", F.lit(name)) for name, (_, _, labels) in _holdout(spark, sf).items()]
     return report.stack_tables(parts)
 
 
+_HELD = "sc AS (" + " UNION ALL ".join(f"SELECT sample_id, '{m}' AS method, round({m}, 9) AS score FROM hand" for m in METHODS[:2])
+_HELD += " UNION ALL SELECT sample_id, 'kinematic_profile', round((speed + acceleration + jerk + turn + smoothness) / 5, 9) FROM kscore)"
+
+
+@query(
+    "holdout_metrics",
+    select(
+        "'track' AS level, 42::INT AS seed, method, ~sum(pos * ((total - p) - (predicted - tp) + (n - pos) / 2)) / (max(p) * (max(total) - max(p))) AS auroc, ~sum(pos * tp / predicted) / max(p) AS auprc, max(p)::BIGINT AS num_positive, max(total)::BIGINT AS num_total",
+        "cur",
+        [
+            *_apart(_INJECTED), sql.STEPS, sql.HANDCRAFTED, sql.KINEMATIC, *sql.kinematic_scores(), _HELD,
+            "al AS (SELECT l.sample_id, method, label, anomaly_type, score FROM lab l JOIN sc USING (sample_id) JOIN split USING (sequence) WHERE split = 'val')", _CURVE,
+        ],
+        "GROUP BY method",
+    ),
+)
+def holdout_metrics(spark, sf):
+    """Detectors trained on the disturbed training part and scored on the evaluation part, through the matrix run."""
+    parts = _holdout(spark, sf)
+    folder = scratch(spark)
+    named = {"track": {"kinematic_profile": ("kinematic_profile", {}), **{m: ("feature", {"column": m}) for m in METHODS[:2]}}}
+    matrix.run({"track": parts["val"][0]}, named, [42], folder, FRACTION, train={"track": parts["train"][1]})
+    return matrix.metrics(spark, folder).select("level", "seed", "method", "auroc", "auprc", "num_positive", "num_total")
+
+
 @query(
     "point_lists",
     select(
