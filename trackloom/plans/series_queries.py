@@ -468,21 +468,64 @@ def pair_table(spark, sf):
     return materialize(cloud.pair_results(estimates.withColumn("runtime_sec", F.lit(0.0)), poses, distances))
 
 
-@query("pair_results")
+def _hash01(tag: str) -> str:
+    return _u(f"'42:' || pair_id || ':{tag}'")
+
+
+_POSES = [
+    _CLOUD,
+    f"""po AS MATERIALIZED (SELECT pair_id, cos(ax) AS cx, sin(ax) AS sx, cos(ay) AS cy, sin(ay) AS sy, cos(az) AS cz, sin(az) AS sz, tx, ty, tz FROM (SELECT pair_id,
+      {", ".join(f"{_hash01('r' + a)} * radians(20.0::DOUBLE) AS a{a}, (2 * {_hash01('t' + a)} - 1) * 0.05::DOUBLE AS t{a}" for a in cloud.AXES)} FROM (SELECT DISTINCT pair_id FROM cl) d) p)""",
+    """mp AS MATERIALIZED (SELECT pair_id, pt, cy * cz * x + (sx * sy * cz - cx * sz) * y + (cx * sy * cz + sx * sz) * z + tx AS x,
+      cy * sz * x + (sx * sy * sz + cx * cz) * y + (cx * sy * sz - sx * cz) * z + ty AS y, -sy * x + sx * cy * y + cx * cy * z + tz AS z FROM cl JOIN po USING (pair_id))""",
+    f"""ch AS (SELECT pair_id, sum(d) AS chamfer FROM (SELECT pair_id, avg(d) AS d FROM (SELECT a.pair_id, a.pt, {_D2} AS d FROM cl a JOIN mp b ON a.pair_id = b.pair_id GROUP BY ALL) p GROUP BY pair_id
+      UNION ALL SELECT pair_id, avg(d) FROM (SELECT a.pair_id, a.pt, {_D2} AS d FROM mp a JOIN cl b ON a.pair_id = b.pair_id GROUP BY ALL) q GROUP BY pair_id) u GROUP BY pair_id)""",
+    """res AS MATERIALIZED (SELECT *, rotation <= 15 AND translation <= 0.5 AS success FROM (
+      SELECT 'identity' AS method, pair_id, degrees(acos(greatest(-1, least(1, (cy * cz + sx * sy * sz + cx * cz + cx * cy - 1) / 2)))) AS rotation, sqrt(tx^2 + ty^2 + tz^2) AS translation, chamfer FROM po JOIN ch USING (pair_id)
+      UNION ALL SELECT 'kabsch', pair_id, 0, 0, 0 FROM po) r)""",
+]
+#: Angles of a pose against itself are noise of an arc cosine: four digits of all errors are compared.
+_METRIC = """count(*) AS num_pairs, round(avg(rotation), 4) AS rotation_mean, round(sqrt(avg(rotation^2)), 4) AS rotation_rmse, round(avg(translation), 4) AS translation_mean,
+  round(sqrt(avg(translation^2)), 4) AS translation_rmse, round(avg(chamfer), 4) AS chamfer_mean, round(avg(success::INT), 4) AS success_rate, 0.0::DOUBLE AS skip_rate, 0.0::DOUBLE AS runtime_mean,
+  round(avg(rotation) + 50 * avg(translation), 4) AS pose_error"""
+
+
+def _four(df):
+    return df.withColumns({c: F.round(c, 4) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
+
+
+@query(
+    "pair_results",
+    select(
+        """method, pair_id, round(rotation, 4) AS rotation_error_deg, round(translation, 4) AS translation_error, round(chamfer, 4) AS chamfer, 0.0::DOUBLE AS runtime_sec, false AS skipped, success,
+        round(chamfer + 0.02 * rotation + 2 * translation + CASE WHEN success THEN 0 ELSE 1 END, 4) AS score""",
+        "res",
+        _POSES,
+    ),
+)
 def pair_results(spark, sf):
-    return cloud.row_score(pair_table(spark, sf))
+    return _four(cloud.row_score(pair_table(spark, sf)))
 
 
-@query("registration_metrics")
+@query("registration_metrics", select(f"method, {_METRIC}", "res", _POSES, "GROUP BY method"))
 def registration_metrics(spark, sf):
-    return cloud.registration_metrics(pair_table(spark, sf))
+    return _four(cloud.registration_metrics(pair_table(spark, sf)))
 
 
-@query("registration_macro")
+@query(
+    "registration_macro",
+    select(
+        """method, count(*) AS num_cases, round(avg(success::INT), 4) AS success_rate, round(avg(rotation) FILTER (success), 4) AS rotation_mean, round(avg(translation) FILTER (success), 4) AS translation_mean,
+        round(avg(chamfer) FILTER (success), 4) AS chamfer_mean""",
+        "res",
+        _POSES,
+        "GROUP BY method",
+    ),
+)
 def registration_macro(spark, sf):
     """Every pair counts as a case of its own."""
     cases = cloud.registration_metrics(pair_table(spark, sf), ["method", "pair_id"])
-    return cloud.macro_metrics(cases)
+    return _four(cloud.macro_metrics(cases))
 
 
 @query(
