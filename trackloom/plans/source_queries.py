@@ -12,9 +12,9 @@ from trackloom.plans.detector_queries import points
 from trackloom.plans.protocol_queries import _CURVE, _HAND, _INJECTED, FRACTION, METHODS, injected
 from trackloom.plans.registry import query, select
 from trackloom.session import materialize, shared_dir
-from trackloom.sources import readers, sinks
+from trackloom.sources import manifest, readers, sinks
 from trackloom.sources.documents import assemble_windows
-from trackloom.sources.tables import observations, read_table
+from trackloom.sources.tables import observations, raw_detections, read_table
 from trackloom.streaming import live, state
 
 
@@ -151,6 +151,67 @@ def padded_centers(spark, sf):
     return rows.select("sample_id", "length", "truncated", F.posexplode("values").alias("slot", "value")).withColumn("slot", F.col("slot").cast("long"))
 
 
+# ------------------------------------------------------------------ manifests
+def _written_records(spark, sf, cx, cy):
+    """Detections of one sensor as JSON lines in which every fallback of the keys is needed; read back as maps."""
+    rows = raw_detections(spark, sf).where(F.col(cx).isNotNull())
+    e = F.col("event_id")
+    no = F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string")
+    track = {n: F.when(e % 5 == k, text("track_id")) for k, n in enumerate(("track_id", "instance_id", "object_id", "target_id"))}
+    named = {n: F.when(e % 7 == k, F.concat(F.lit("/"), "sequence", F.lit("/00"))) for k, n in enumerate(("sequence", "video_name"))}
+    box = F.when(e % 9 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.col(cx) - F.col("w") / 2, F.col(cy) - F.col("h") / 2, "w", "h"))
+    annotations = rows.select(F.to_json(F.struct(e.alias("id"), e.alias("image_id"), *[c.alias(n) for n, c in {**track, **named}.items()], box.alias("bbox"), F.when(e % 3 == 0, F.col("frame_id")).alias("frame_number"))).alias("value"))
+    folder = F.when(e % 2 == 0, F.concat("sequence", F.lit("/x/"))).otherwise(F.concat(F.lit("root/"), "sequence", F.lit("/01/")))
+    images = rows.select(F.to_json(F.struct(
+        e.alias("id"), F.when(e % 7 == 2, F.concat("sequence", F.lit("\\\\"))).alias("seq"), F.when(e % 7 == 3, F.col("sequence")).alias("video_id"),
+        F.when(e % 7 > 3, F.concat(folder, F.lpad(text("frame_id"), 6, "0"), F.lit(".jpg"))).otherwise(F.concat(F.lpad(text("frame_id"), 6, "0"), F.lit(".jpg"))).alias("file_name"),
+        F.when(e % 3 == 1, text("frame_id")).alias("frame_index"),
+    )).alias("value"))
+    videos = rows.select("sequence").distinct().select(F.to_json(F.struct(F.col("sequence").alias("id"), no.alias("name"), F.col("sequence").alias("file_name"))).alias("value"))
+    tables = []
+    for part in (annotations, images, videos):
+        path = scratch(spark)
+        part.write.text(path)
+        tables.append(manifest.read_records(spark, path))
+    return manifest.annotation_records(*tables)
+
+
+def _record_sql(name: str, cx: str, cy: str) -> str:
+    return f"""{name} AS (SELECT sequence, track, frame_id, arg_min(cx, event_id) AS cx, arg_min(cy, event_id) AS cy FROM (SELECT sequence, CASE WHEN event_id % 5 = 4 THEN event_id::VARCHAR ELSE track_id END AS track, frame_id, event_id,
+      CASE WHEN event_id % 9 <> 0 THEN {{'v': {cx}}} ELSE {{'v': NULL::DOUBLE}} END AS cx, CASE WHEN event_id % 9 <> 0 THEN {{'v': {cy}}} ELSE {{'v': NULL::DOUBLE}} END AS cy FROM raw WHERE {cx} IS NOT NULL) r GROUP BY ALL)"""
+
+
+_MANIFEST = [sql.RAW, _record_sql("ra", "rgb_cx", "rgb_cy"), _record_sql("ta", "thermal_cx", "thermal_cy")]
+
+
+@query(
+    "annotation_manifest",
+    select(
+        """sequence, track AS track_id, frame_id::BIGINT AS frame_id, ra.cx IS NOT NULL AS has_rgb, ta.cx IS NOT NULL AS has_thermal,
+        ~ra.cx.v AS rgb_cx, ~ra.cy.v AS rgb_cy, ~ta.cx.v AS thermal_cx, ~ta.cy.v AS thermal_cy""",
+        "ra FULL JOIN ta USING (sequence, track, frame_id)",
+        _MANIFEST,
+    ),
+)
+def annotation_manifest(spark, sf):
+    return manifest.manifest(_written_records(spark, sf, "rgb_cx", "rgb_cy"), _written_records(spark, sf, "thermal_cx", "thermal_cy"))
+
+
+@query(
+    "manifest_summary",
+    select(
+        """sequence, count(*) AS num_observation_keys, count(ra.cx) AS num_rgb_annotations, count(ta.cx) AS num_thermal_annotations, count(*) FILTER (ra.cx IS NOT NULL AND ta.cx IS NOT NULL) AS num_paired_annotations,
+        ~count(ra.cx) / count(*) AS rgb_annotation_coverage, ~count(ta.cx) / count(*) AS thermal_annotation_coverage, ~count(*) FILTER (ra.cx IS NOT NULL AND ta.cx IS NOT NULL) / count(*) AS paired_annotation_coverage""",
+        "ra FULL JOIN ta USING (sequence, track, frame_id)",
+        _MANIFEST,
+        "GROUP BY sequence",
+    ),
+)
+def manifest_summary(spark, sf):
+    return manifest.manifest_summary(annotation_manifest(spark, sf))
+
+
 # ------------------------------------------------------------------ streams
 @query(
     "stream_window_coverage",
