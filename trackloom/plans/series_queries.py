@@ -396,9 +396,9 @@ _BENT = [
     ),
 )
 def compatibility_weights(spark, sf):
-    """Degrees and second-order weights where the limit rejects a good share; blocks of 32, so that several meet."""
+    """Degrees and second-order weights where the limit rejects a good share."""
     matches = _bent(spark, sf)
-    weights = compatibility.compatibility_weights(matches, 0.05, _TURNS, block=32)
+    weights = compatibility.compatibility_weights(matches, 0.05, _TURNS)
     return weights.join(cloud.compatibility(matches, 0.05), ["pair_id", "pt"]).select("pair_id", "pt", "degree", "support", "weight")
 
 
