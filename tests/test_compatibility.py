@@ -49,7 +49,7 @@ def test_weights_equal_dense_matrices(spark, block):
 
 
 def test_no_pair_list_is_written(spark):
-    """Weights of a block pair are one row, zero weights none."""
+    """Weights of a block pair are a few rows, zero weights none."""
     df = spark.createDataFrame([r[:8] for r in made(1, 60, 0.5, 3)], "pair_id long, pt long, x double, y double, z double, tx double, ty double, tz double")
     blocks = compatibility._blocks(df, 20)
     n = blocks.count()
