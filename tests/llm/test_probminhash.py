@@ -96,3 +96,42 @@ def test_registers_estimate_weighted_similarity():
     row = np.repeat([0, 1], 60)
     found = P.registers(row, np.concatenate([member, member]), np.concatenate([a, b]), 2, 4000)
     assert abs((found[0] == found[1]).mean() - exact) < 0.03
+
+
+def test_pairs_with_repeated_passages_share_a_band():
+    rng = np.random.default_rng(3)
+    for often in (1, 2, 5, 10, 20, 50, 1000):
+        for both in (False, True):
+            rows, members, counts = [], [], []
+            for t in range(1000):  # pairs of set similarity 0.8; one text, or each, repeats half of what is shared
+                member = rng.integers(1, 2**63, 100).astype(np.uint64)
+                for side, own in enumerate((member[:90], np.concatenate([member[:80], member[90:]]))):
+                    count = np.ones(90)
+                    if side == 0:
+                        count[:40] = often
+                    elif both:
+                        count[40:80] = often
+                    order = np.argsort(own)
+                    rows.append(np.full(90, 2 * t + side))
+                    members.append(own[order])
+                    counts.append(count[order])
+            key = P.band_keys(np.concatenate(rows), np.concatenate(members), np.concatenate(counts), 2000)
+            assert (key[::2] == key[1::2]).any(axis=1).mean() >= 0.99
+
+
+def test_equal_sets_meet_whatever_their_counts():
+    member = np.sort(np.random.default_rng(4).integers(1, 2**63, 50).astype(np.uint64))
+    row = np.repeat([0, 1, 2], [50, 50, 49])
+    count = np.concatenate([np.ones(50), np.full(50, 100.0), np.ones(49)])
+    key = P.band_keys(row, np.concatenate([member, member, member[1:]]), count, 3)
+    assert key[0, -1] == key[1, -1] != key[2, -1]
+
+
+def test_a_text_that_repeats_a_passage_links_to_one_that_does_not(documents):
+    rows = []
+    for k in range(40):
+        words = [f"p{k}x{i}" for i in range(60)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[:30] * 20 + words[30:])))
+    found = clusters(P.near_duplicates(documents(rows)))
+    assert found == brute(rows) and sum(len(g) == 2 for g in found) == 40
