@@ -45,6 +45,19 @@ def test_bad_hosts_lose_what_fails_and_keep_what_does_not(documents):
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, _, _ in rows if kept[i])
 
 
+def test_a_host_well_above_the_others_is_condemned_below_one_half(documents):
+    def text(i, bad):
+        return " ".join(f"word{i}x{k}" + (" ##" if bad and k % 3 == 0 else "") for k in range(80))
+
+    # nine ordinary hosts fail 2 documents in 100, one fails 30: far from one half, far above what is usual
+    rows = [(100 * h + i, text(100 * h + i, i < (30 if h == 9 else 2)), f"h{h}") for h in range(10) for i in range(100)]
+    rows += [(2000 + i, text(2000 + i, i == 0), "small") for i in range(3)]  # one of three proves little
+    kept = {r.doc_id: r.kept for r in H.judged(documents(rows)).collect()}
+    gone = {i for i, k in kept.items() if not k}
+    assert gone == {900 + i for i in range(30)}
+    assert {r.doc_id for r in H.passing(documents(rows)).collect()} == set(kept) - gone
+
+
 def test_empty_table(documents):
     assert H.judged(documents([])).count() == 0 and H.passing(documents([])).count() == 0
 

@@ -2,7 +2,8 @@
 
 Every document is measured and held against rules.  Failures are summed by host, the rate of each rule in each
 host is shrunk by a beta prior fitted to the rates of all hosts (moments), and the hosts' verdicts return to
-the documents: a document goes if it fails a base rule, or another rule on which its host is condemned.
+the documents: a document goes if it fails a base rule, or another rule on which its host is condemned.  A host is
+condemned on a rule if its rate is, with confidence, a multiple of what is usual, within a least and a most bar.
 Documents that fail no rule stay whatever their host.
 """
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import BROADCAST_ROWS, SPACE, host_key
 from trackloom.session import materialize
 
-#: Shrunk failure rate from which a host is condemned on a rule.
-CONDEMNED = 0.5
+#: A host is condemned on a rule if the lower bound of its shrunk failure rate (CONFIDENCE standard deviations of the posterior below
+#: its mean) reaches the bar: RELATIVE times the rate of all documents, at least FLOOR (rarer faults say little of a host) and at most CONDEMNED.
+RELATIVE, FLOOR, CONDEMNED = 2.0, 0.05, 0.5
+CONFIDENCE = 1.645
 #: Weight of the prior in documents: its least (a few documents of a host prove little), and its most where hosts differ by chance only.
 PRIOR_MIN, PRIOR_MAX = 10.0, 1e6
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -83,8 +86,8 @@ def measured(rows: DataFrame, text: str) -> DataFrame:
     return out.select(*keep, *MEASURES)
 
 
-def host_rates(measures: DataFrame) -> DataFrame:
-    """Per ``_host``: documents, and the shrunk failure rate of every rule.
+def host_rates(measures: DataFrame, condemned: float = CONDEMNED) -> DataFrame:
+    """Per ``_host``: documents, the shrunk failure rate of every rule, and whether the host is condemned on it.
 
     The beta prior of a rule has the mean of all documents; its weight comes from the spread of the hosts' rates
     beyond what chance gives (method of moments), within PRIOR_MIN and PRIOR_MAX documents.
@@ -108,14 +111,18 @@ def host_rates(measures: DataFrame) -> DataFrame:
         between = spread - chance * k / n if n else 0.0
         weight = (chance - spread) / between if between > 0 else PRIOR_MAX
         weight = min(max(weight, PRIOR_MIN), PRIOR_MAX)
-        rates.append(((F.col(f"_f_{r}") + F.lit(weight * mean)) / (F.col("_n") + F.lit(weight))).alias(f"_r_{r}"))
+        held = F.col("_n") + F.lit(weight)
+        rate = (F.col(f"_f_{r}") + F.lit(weight * mean)) / held
+        low = rate - F.lit(CONFIDENCE) * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (held + 1))
+        bar = min(max(RELATIVE * mean, FLOOR), condemned)
+        rates += [rate.alias(f"_r_{r}"), (low >= F.lit(bar)).alias(f"_c_{r}")]
     return counts.select("_host", "_n", *rates)
 
 
-def _verdict(condemned: float) -> Column:
+def _verdict() -> Column:
     gone = F.lit(False)
     for r, rule in RULES.items():
-        gone = gone | (F.expr(rule) & (F.col(f"_r_{r}") >= condemned))
+        gone = gone | (F.expr(rule) & F.col(f"_c_{r}"))
     return gone
 
 
@@ -124,7 +131,8 @@ def judged(docs: DataFrame, host: str = "source", condemned: float = CONDEMNED)
 
     ``docs`` has ``doc_id``, ``text`` and the column ``host``.  A null text is empty (and fails as short); a null
     host is a host of its own.  Repeated rows count and return as often as they occur.  An empty table gives an
-    empty result.  ``host_fail_rate`` is the largest shrunk rate among the rules that the document fails, else 0.
+    empty result.  ``host_fail_rate`` is the largest shrunk rate among the rules that the document fails, else 0;
+    it is rounded to six places, the verdict uses the whole figures.
     """
     return _judge(_measures(docs, host), condemned).select(
         "doc_id", *MEASURES, "base_failed", "host_fail_rate", "kept"
@@ -139,7 +147,7 @@ def _measures(docs: DataFrame, host: str) -> DataFrame:
 
 
 def _judge(measures: DataFrame, condemned: float) -> DataFrame:
-    rates = host_rates(measures)
+    rates = host_rates(measures, condemned)
     rated = measures.join(rates, "_host")
     base = F.expr(" or ".join(f"({RULES[r]})" for r in BASE))
     worst = F.greatest(*[F.when(F.expr(rule), F.col(f"_r_{r}")).otherwise(F.lit(0.0)) for r, rule in RULES.items()])
@@ -147,7 +155,7 @@ def _judge(measures: DataFrame, condemned: float) -> DataFrame:
         {
             "base_failed": base,
             "host_fail_rate": F.round(worst, 6),
-            "kept": ~base & ~_verdict(condemned),
+            "kept": ~base & ~_verdict(),
         }
     )
 
@@ -172,15 +180,18 @@ def passing(docs: DataFrame, host: str = "source", condemned: float = CONDEMNED)
 def oracle() -> str:
     """The query in DuckDB's SQL, for tables whose ids are unique."""
     space = r"[\x20\x09-\x0D]+"
-    stats, rates, gone, worst = [], [], [], []
+    stats, priors, rates, gone, worst = [], [], [], [], []
     for r, rule in RULES.items():
-        m, s = f"f_{r} / n", f"(q_{r} / n - (f_{r} / n) * (f_{r} / n))"
-        c = f"({m} * (1 - {m}))"
-        b = f"({s} - {c} * k / n)"
+        m, q = f"(t.f_{r} / n)", f"(t.q_{r} / n)"
+        c, spread = f"({m} * (1 - {m}))", f"({q} - {m} * {m})"
+        b = f"({spread} - {c} * k / n)"
         stats.append(f"sum(f_{r})::DOUBLE AS f_{r}, sum(f_{r}::DOUBLE * f_{r} / hn) AS q_{r}")
-        w = f"CASE WHEN {b} > 0 THEN least(greatest(({c} - {s}) / {b}, {PRIOR_MIN}), {PRIOR_MAX}) ELSE {PRIOR_MAX} END"
-        rates.append(f"(h.f_{r} + ({w.replace('f_' + r, 't.f_' + r).replace('q_' + r, 't.q_' + r)}) * t.f_{r} / n) / (h.hn + ({w.replace('f_' + r, 't.f_' + r).replace('q_' + r, 't.q_' + r)})) AS r_{r}")
-        gone.append(f"(({rule}) AND r_{r} >= {CONDEMNED})")
+        priors.append(
+            f"h.f_{r} AS f_{r}, {m} AS m_{r}, CASE WHEN {b} > 0 THEN least(greatest(({c} - {spread}) / {b}, {PRIOR_MIN}), {PRIOR_MAX}) ELSE {PRIOR_MAX} END AS w_{r}"
+        )
+        rates.append(f"(f_{r} + w_{r} * m_{r}) / (hn + w_{r}) AS r_{r}")
+        bar = f"least(greatest({RELATIVE} * m_{r}, {FLOOR}), {CONDEMNED})"
+        gone.append(f"(({rule}) AND r_{r} - {CONFIDENCE} * sqrt(greatest(r_{r} * (1 - r_{r}), 0) / (hn + w_{r} + 1)) >= {bar})")
         worst.append(f"CASE WHEN {rule} THEN r_{r} ELSE 0 END")
     base = " OR ".join(f"({RULES[r]})" for r in BASE)
     return rf"""
@@ -198,7 +209,8 @@ m AS (SELECT d.doc_id, d.source, coalesce(n_words, 0) AS n_words, coalesce(word_
       FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)),
 h AS (SELECT source, count(*) AS hn, {", ".join(f"sum(CASE WHEN {rule} THEN 1 ELSE 0 END) AS f_{r}" for r, rule in RULES.items())} FROM m GROUP BY source),
 t AS (SELECT sum(hn)::DOUBLE AS n, count(*) AS k, {", ".join(stats)} FROM h),
-v AS (SELECT h.source, {", ".join(rates)} FROM h, t)
+p AS (SELECT h.source, hn, {", ".join(priors)} FROM h, t),
+v AS (SELECT *, {", ".join(rates)} FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, ({base}) AS base_failed,
        round(greatest({", ".join(worst)}), 6) AS host_fail_rate, NOT ({base}) AND NOT ({" OR ".join(gone)}) AS kept
 FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source"""
