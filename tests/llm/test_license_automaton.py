@@ -77,6 +77,48 @@ def test_templates_give_their_labels(documents):
     assert out[102].labels == "mit" and 0.75 <= out[102].score < 1
 
 
+def test_a_quotation_inside_a_template_keeps_the_label(documents):
+    quote = {"mit": "free of charge to any person", "bsd": "redistributions of source code must retain"}
+    rows, wanted = [], {}
+    for i, (label, t) in enumerate(TEMPLATES):
+        body = t.split()
+        if label in quote and len(body) > 60:
+            middle = len(body) // 2
+            rows.append((i, " ".join([*body[:middle], f"[{quote[label]}]", *body[middle:]])))
+            wanted[i] = label
+    assert set(wanted.values()) == set(quote)
+    out = {r.doc_id: r for r in A.scanned(documents(rows)).collect()}
+    for i, label in wanted.items():
+        assert label in out[i].labels.split(",") and out[i].score > 0.95
+        assert [s.first for s in out[i].spans if s.label == label] == [0]
+
+
+def test_chains_are_the_best_ones():
+    rng = random.Random(8)
+    for _ in range(300):
+        end, begin, matches, ends = 0, 0, [], []
+        for k in range(rng.randrange(1, 8)):
+            end += rng.randrange(1, 6)
+            begin = rng.randrange(begin, end)
+            matches.append((end, end - begin + 1, k))
+            ends.append([(t, rng.randrange(end - begin, end - begin + 12)) for t in range(2) for _ in range(rng.randrange(3))])
+
+        def longest(t, at, place):  # of chains that end with run `at` at `place`, over all ways
+            e, n, k = matches[at]
+            ways = [n]
+            for j in range(at):
+                if e - n + 1 - matches[j][0] <= 4:
+                    ways += [longest(t, j, p) + min(n, e - matches[j][0], place - p) for u, p in ends[j] if u == t and p < place]
+            return max(ways)
+
+        got = A.chains(matches, ends, 3)
+        for t in range(2):
+            every = [longest(t, i, p) for i in range(len(matches)) for u, p in ends[i] if u == t]
+            mine = [c for c in got if c[0] == t]
+            assert max((c[3] for c in mine), default=0) == max(every, default=0)
+            assert all(a[2] < b[1] for a, b in zip(mine, mine[1:]))
+
+
 def test_odd_rows(documents, odd_rows):
     out = A.scanned(documents(odd_rows + [(20, "Cc\tbY"), (21, "mit license " * 3000)])).collect()
     assert len(out) == len(odd_rows) + 2

@@ -1,13 +1,15 @@
 """Licence scan: matching statistics from a generalised suffix automaton of licence words, chained into template spans.
 
 The automaton holds all runs of words of all templates.  Streaming a text through it gives, at every word, the
-longest run that ends there and occurs in a template.  Long runs that cannot be extended are chained, in
-order of text and of template, into spans; a template whose words a chain covers to a large share gives its label.
+longest run that ends there and occurs in a template.  Long runs that cannot be extended are chained by dynamic
+programming, in order of text and of template, into spans; a template whose words a chain covers to a large share gives its label.
 Phrases are templates too; where one is a suffix of the current run, it stands in the text.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -115,28 +117,36 @@ class SuffixAutomaton:
 def chains(matches: list[tuple[int, int, int]], ends, gap: int) -> list[tuple[int, int, int, int]]:
     """Chains (template, first word, last word, covered words) of runs (end, length, state), in order of the text.
 
-    A run joins the open chain of a template if it follows it in the text within ``gap`` words and in the template; what
-    overlaps counts once.  Of several places in a template the first that follows is taken.
+    Per template and place the best chain that ends there is found by dynamic programming: a run follows any earlier one
+    that ends before it in the text, at most ``gap`` words before its begin, and before it in the template; what overlaps
+    counts once.  Runs between two of a chain, such as a quotation of another place, are passed over.  Of chains that share
+    text the best covered stays.  Runs begin in order of the text, so only those within the gap are held.
     """
-    open_: dict[int, list[int]] = {}  # template -> first word, last word, last place, covered
-    out = []
+    held: dict[int, deque] = {}  # template -> runs (end, place, covered, root) within the gap
+    best: dict[tuple[int, int], tuple[int, int]] = {}  # template, begin of a chain -> covered, -end
     for end, length, state in matches:
-        places: dict[int, list[int]] = {}
+        begin = end - length + 1
         for t, place in ends[state]:
-            places.setdefault(t, []).append(place)
-        for t, at in places.items():
-            held = open_.get(t)
-            follows = None
-            if held is not None and end - length + 1 - held[1] <= gap + 1:
-                follows = min((p for p in at if p > held[2]), default=None)
-            if follows is not None:
-                new = min(length, end - held[1], follows - held[2])
-                open_[t] = [held[0], end, follows, held[3] + new]
-            else:
-                if held is not None:
-                    out.append((t, held[0], held[1], held[3]))
-                open_[t] = [end - length + 1, end, min(at), length]
-    return out + [(t, h[0], h[1], h[3]) for t, h in open_.items()]
+            earlier = held.setdefault(t, deque())
+            while earlier and begin - earlier[0][0] > gap + 1:
+                earlier.popleft()
+            covered, root = length, begin
+            for at, before, so_far, of in earlier:
+                if at < end and before < place:
+                    more = so_far + min(length, end - at, place - before)
+                    if more > covered:
+                        covered, root = more, of
+            earlier.append((end, place, covered, root))
+            best[t, root] = max(best.get((t, root), (0, 0)), (covered, -end))
+    out = []
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for (t, root), (covered, end) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
+        spans = taken.setdefault(t, [])
+        k = bisect(spans, (root, -end))
+        if (k == 0 or spans[k - 1][1] < root) and (k == len(spans) or spans[k][0] > -end):
+            spans.insert(k, (root, -end))
+            out.append((t, root, -end, covered))
+    return sorted(out, key=lambda x: (x[2], x[0]))
 
 
 def scanned(
