@@ -44,6 +44,8 @@ CHECKED = [
     "seed_summary",
     "holdout_metrics",
     "trimmed_icp",
+    "isolation_forest",
+    "isolation_forest_windows",
     "auroc",
     "best_f1",
 ]

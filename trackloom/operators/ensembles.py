@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.detectors import BEHAVIOUR_COLUMNS, lof_scores, nearest_profile_scores
 from trackloom.operators.evaluate import top_k
-from trackloom.operators.knn import knn_join, vectorize
+from trackloom.operators.knn import knn_join
 from trackloom.operators.ranks import average_ranks, column_profile, melt, rank01, stratified_rank, widen
 from trackloom.operators.scale import percentiles
 from trackloom.session import materialize
@@ -33,72 +34,66 @@ def _average_depth(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
+def _drawn(train: DataFrame, trees: int, rows: int, total: int, seed: int) -> DataFrame:
+    """``tree`` and the training rows it is grown on: those of the ``rows`` smallest draws.
+
+    One md5 of seed, group of four trees and id holds the draws of four trees.  A cut that leaves about four
+    times as many rows goes before the shuffle.
+    """
+    groups = F.sequence(F.lit(0), F.lit((trees + 3) // 4 - 1))
+    hashes = F.transform(groups, lambda g: F.md5(F.concat_ws(":", F.lit(str(seed)), g.cast("string"), F.col("id").cast("string"))))
+    each = lambda h, g: F.array(*[F.struct((g * 4 + k).alias("tree"), F.substring(h, 8 * k + 1, 8).alias("draw")) for k in range(4)])
+    below = "g" if total <= 4 * rows else f"{int((1 << 32) * 4 * rows / total):08x}"
+    mine = F.filter(F.flatten(F.transform(hashes, each)), lambda d: (d["tree"] < trees) & (d["draw"] < below))
+    drawn = train.select("id", "vector", F.explode(mine).alias("_d")).select("id", "vector", "_d.tree", "_d.draw")
+    order = Window.partitionBy("tree").orderBy("draw", "id")
+    return drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= rows)
+
+
 def isolation_forest(
     train: DataFrame, queries: DataFrame, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 42
 ) -> DataFrame:
-    """Isolation forest anomaly score (0..1) of query vectors.
+    """Isolation forest anomaly score (0..1) of query vectors; without training rows every score is 1.
 
-    Each tree is grown by one task on its own ``rows`` training rows: those of smallest
-    hash of tree and id among all rows.  A cut that leaves about four times as many goes
-    before the shuffle.  The forest (trees * 2 * rows nodes at most) is shipped to
-    the tasks that score the queries batch by batch.
+    Each tree is grown by one task on its own ``rows`` training rows.  What is drawn, the axis and the cut of a node are read
+    off md5 of seed, tree and id or node, so the same forest grows on any engine: node 1 is the root, 2n and 2n + 1 are the
+    children of n.  The forest (trees * 2 * rows nodes at most) is shipped to the tasks that score the queries batch by batch.
     """
     total = train.count()
     size = min(rows, total)
-    span = 1 << 40
-    cut = F.lit(span if total <= 4 * rows else int(span * 4 * rows / total))
-
-    def draw(tree: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), tree, F.col("id")), F.lit(span))
-
-    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < cut)
-    drawn = train.withColumn("tree", F.explode(mine))
-    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "id")
-    drawn = drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
         data = np.stack(pdf["vector"].to_numpy())
         tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        nodes: list[list] = []
-
-        def build(index: np.ndarray, depth: int) -> int:
-            me = len(nodes)
-            nodes.append([tree, me, -1, 0.0, -1, -1, len(index)])
+        nodes: list[tuple] = []
+        waiting = [(1, np.arange(len(data)), 0)]
+        while waiting:
+            node, index, depth = waiting.pop()
             part = data[index]
-            if len(index) <= 1:
-                return me
             low, high = part.min(axis=0), part.max(axis=0)
-            open_axes = np.nonzero(high > low)[0]
+            open_axes = np.flatnonzero(high > low)
             if depth >= limit or len(open_axes) == 0:
-                return me
-            axis = int(rng.choice(open_axes))
-            cut = float(rng.uniform(low[axis], high[axis]))
+                nodes.append((tree, node, -1, 0.0, len(index)))
+                continue
+            digits = hashlib.md5(f"{seed}/{tree}/{node}".encode()).hexdigest()
+            axis = int(open_axes[int(digits[13:21], 16) % len(open_axes)])
+            cut = float(low[axis] + int(digits[:13], 16) / 2**52 * (high[axis] - low[axis]))
             cut = cut if cut < high[axis] else float(low[axis])
             left = part[:, axis] <= cut
-            nodes[me][2:4] = [axis, cut]
-            nodes[me][4] = build(index[left], depth + 1)
-            nodes[me][5] = build(index[~left], depth + 1)
-            return me
-
-        build(np.arange(len(data)), 0)
-        return pd.DataFrame(nodes, columns=["tree", "node", "axis", "cut", "left", "right", "size"])
-
-    forest = (
-        drawn.groupBy("tree")
-        .applyInPandas(grow, "tree int, node int, axis int, cut double, left int, right int, size int")
-        .toPandas()
-        .sort_values(["tree", "node"])
-    )
-    grown = {t: g for t, g in forest.groupby("tree")}
-    shipped = queries.sparkSession.sparkContext.broadcast(
-        [
-            tuple(g[c].to_numpy() for c in ("axis", "cut", "left", "right", "size"))
-            for _, g in sorted(grown.items())
-        ]
-    )
+            nodes.append((tree, node, axis, cut, len(index)))
+            waiting += [(2 * node, index[left], depth + 1), (2 * node + 1, index[~left], depth + 1)]
+        return pd.DataFrame(nodes, columns=["tree", "node", "axis", "cut", "size"])
+
+    forest = _drawn(train, trees, rows, total, seed).groupBy("tree").applyInPandas(grow, "tree int, node long, axis int, cut double, size int").toPandas()
+    shipped = []
+    for _, tree in forest.sort_values(["tree", "node"]).groupby("tree"):
+        node = tree["node"].to_numpy()
+        axis, cut, ends = np.full(node.max() + 1, -1), np.zeros(node.max() + 1), np.zeros(node.max() + 1)
+        axis[node], cut[node] = tree["axis"], tree["cut"]
+        ends[node] = np.floor(np.log2(node)) + _average_depth(tree["size"].to_numpy())
+        shipped.append((axis, cut, ends))
+    shipped = queries.sparkSession.sparkContext.broadcast(shipped)
     scale = float(_average_depth(np.array([size]))[0]) or 1.0
 
     @F.pandas_udf("double")
@@ -107,17 +102,14 @@ def isolation_forest(
         for vectors in batches:
             data = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 1))
             total = np.zeros(len(data))
-            for axis, cut, left, right, sizes in trees_:
-                node = np.zeros(len(data), dtype=int)
-                depth = np.zeros(len(data))
-                inside = axis[node] >= 0
-                while inside.any():
+            for axis, cut, ends in trees_:
+                node = np.ones(len(data), dtype=int)
+                inside = np.flatnonzero(axis[node] >= 0)
+                while len(inside):
                     at = node[inside]
-                    goes = data[inside, axis[at]] <= cut[at]
-                    node[inside] = np.where(goes, left[at], right[at])
-                    depth[inside] += 1
-                    inside = axis[node] >= 0
-                total += depth + _average_depth(sizes[node])
+                    node[inside] = 2 * at + (data[inside, axis[at]] > cut[at])
+                    inside = inside[axis[node[inside]] >= 0]
+                total += ends[node]
             yield pd.Series(np.power(2.0, -(total / max(len(trees_), 1)) / scale))
 
     return queries.select("id", score("vector").alias("score"))
@@ -126,10 +118,15 @@ def isolation_forest(
 def isolation_scores(
     train_features: DataFrame, score_features: DataFrame, columns: Sequence[str], id_col: str = "sample_id", seed: int = 42
 ) -> DataFrame:
-    profile = column_profile(train_features, columns)
-    train = materialize(vectorize(train_features, id_col, columns, profile))
-    score = vectorize(score_features, id_col, columns, profile)
-    return isolation_forest(train, score, seed=seed).withColumnRenamed("id", id_col)
+    """Forest scores by feature columns.  Cuts are uniform between the ends of a node, so scaling would change nothing; values
+    are taken to six digits, a missing one is 0."""
+
+    def vectors(df: DataFrame) -> DataFrame:
+        values = [F.round(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), 6) for c in columns]
+        return df.select(F.col(id_col).alias("id"), F.array(*values).alias("vector"))
+
+    train = materialize(vectors(train_features))
+    return isolation_forest(train, vectors(score_features), seed=seed).withColumnRenamed("id", id_col)
 
 
 def pca_residuals(

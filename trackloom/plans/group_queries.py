@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import detectors, groups, motion, neighbours, retrieval, tokens, windows
+from trackloom.operators import detectors, ensembles, groups, motion, neighbours, retrieval, tokens, windows
 from trackloom.operators.knn import knn_join
 from trackloom.operators.protocol import split_rows, split_sequences
 from trackloom.plans import oracle as sql
@@ -282,6 +282,15 @@ def window_lof_scores(spark, sf):
     return detectors.lof_scores(train, score, groups.GROUP_FEATURES, "window_id")
 
 
+@query(
+    "isolation_forest_windows",
+    select("window_id, ~score", "isow", [*_GF_ALL, sql.SPLIT, *sql.isolation("isow", "gf", "window_id", groups.GROUP_FEATURES)]),
+)
+def isolation_forest_windows(spark, sf):
+    train, score = train_score(spark, sf, groups.group_features(moving_points(spark, sf)))
+    return ensembles.isolation_scores(train, score, groups.GROUP_FEATURES, "window_id")
+
+
 # ------------------------------------------------------------------ tokens
 _TOKENS = """tok AS (
   SELECT sample_id, sequence, frame_id * 4 + slot AS position, token FROM (

@@ -342,3 +342,32 @@ def lof(name: str, source: str, key: str, columns: list[str], k: int) -> list[st
         f"""{name} AS (SELECT o.q AS {key}, avg(l.lrd / w.lrd) AS score FROM {name}_out o JOIN {name}_lrd l ON o.n = l.n
   JOIN {name}_own w ON o.q = w.q GROUP BY o.q)""",
     ]
+
+
+def isolation(name: str, source: str, key: str, columns: list[str], trees: int = 100, rows: int = 256, seed: int = 42) -> list[str]:
+    """Scores of the validation rows by a forest of hash-driven cuts grown level by level on the training rows."""
+    levels = (rows - 1).bit_length()
+    values = ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 6)" for c in columns)
+    depth = "CASE WHEN {0} <= 1 THEN 0 WHEN {0} = 2 THEN 1 ELSE 2 * (ln({0} - 1) + 0.5772156649015329::DOUBLE) - 2 * ({0} - 1) / {0} END"
+    hashed = f"md5('{seed}/' || tree || '/' || node)"
+    out = [
+        f"{name}_in AS MATERIALIZED (SELECT {key} AS id, split, [{values}] AS v FROM {source} JOIN split USING (sequence))",
+        f"{name}_size AS (SELECT least({rows}, count(*)) AS size, ceil(log2(greatest(least({rows}, count(*)), 2))) AS lim FROM {name}_in WHERE split = 'train')",
+        f"""{name}_l0 AS MATERIALIZED (SELECT tree, id, v, 1::BIGINT AS node FROM
+  (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY substr(md5('{seed}:' || (tree // 4) || ':' || id), 1 + 8 * (tree % 4)::INT, 8), id) AS rn
+   FROM {name}_in, (SELECT unnest(generate_series(0, {trees - 1})) AS tree) t WHERE split = 'train') d WHERE rn <= {rows})""",
+        f"{name}_q0 AS MATERIALIZED (SELECT tree, id, v, 1::BIGINT AS node FROM {name}_in, (SELECT unnest(generate_series(0, {trees - 1})) AS tree) t WHERE split = 'val')",
+    ]
+    for d in range(levels + 1):
+        out.append(f"""{name}_b{d} AS MATERIALIZED (SELECT tree, node, axis, min(x) AS lo, max(x) AS hi, count(*) AS n FROM
+  (SELECT tree, node, unnest(range(1, {len(columns) + 1})) AS axis, unnest(v) AS x FROM {name}_l{d}) u GROUP BY ALL)""")
+        out.append(f"""{name}_g{d} AS MATERIALIZED (SELECT c.tree, c.node, c.n, b.axis, CASE WHEN lo + u * (hi - lo) < hi THEN lo + u * (hi - lo) ELSE lo END AS cut FROM
+  (SELECT *, open[1 + ('0x' || substr(h, 14, 8))::BIGINT % len(open)] AS pick, ('0x' || substr(h, 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM
+    (SELECT tree, node, max(n) AS n, list(axis ORDER BY axis) FILTER (hi > lo) AS open, {hashed} AS h FROM {name}_b{d} GROUP BY tree, node) o) c
+  LEFT JOIN {name}_b{d} b ON b.tree = c.tree AND b.node = c.node AND b.axis = c.pick AND {d} < (SELECT lim FROM {name}_size))""")
+        if d < levels:
+            for part in "lq":
+                out.append(f"{name}_{part}{d + 1} AS MATERIALIZED (SELECT tree, id, v, 2 * node + (v[axis] > cut)::INT AS node FROM {name}_{part}{d} JOIN {name}_g{d} USING (tree, node) WHERE axis IS NOT NULL)")
+    ends = " UNION ALL ".join(f"SELECT id, {d} + {depth.format('n')} AS e FROM {name}_q{d} JOIN {name}_g{d} USING (tree, node) WHERE axis IS NULL" for d in range(levels + 1))
+    out.append(f"{name} AS (SELECT id AS {key}, power(2::DOUBLE, -(sum(e) / {trees}) / (SELECT {depth.format('size')} FROM {name}_size)) AS score FROM ({ends}) e GROUP BY id)")
+    return out

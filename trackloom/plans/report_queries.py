@@ -792,7 +792,7 @@ def hybrid_scores(spark, sf):
     return detectors.hybrid_rank_fusion(ranked, gate=True, gate_floor=0.2)
 
 
-@query("isolation_forest")
+@query("isolation_forest", select("sample_id, ~score", "iso", [*sql.MOTION, sql.HANDCRAFTED, sql.SPLIT, *sql.isolation("iso", "hand", "sample_id", motion.HANDCRAFTED)]))
 def isolation_forest(spark, sf):
     train, score = train_score(spark, sf, motion.handcrafted_features(points(spark, sf)))
     return ensembles.isolation_scores(train, score, motion.HANDCRAFTED)
