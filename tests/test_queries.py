@@ -46,6 +46,8 @@ CHECKED = [
     "trimmed_icp",
     "isolation_forest",
     "isolation_forest_windows",
+    "rank_ensemble",
+    "complementary_scores",
     "auroc",
     "best_f1",
 ]

@@ -163,13 +163,15 @@ def rank_ensemble(
     strata: Sequence[str] = (),
     seed: int = 42,
 ) -> DataFrame:
-    """Weighted ranks of nearest-profile, LOF and isolation scores, optionally
-    re-ranked inside feature strata."""
+    """Weighted ranks of nearest-profile, LOF and isolation scores, optionally re-ranked inside feature strata.
+
+    Scores are taken to nine digits, so that no rank hangs on the order of summation.
+    """
     near = nearest_profile_scores(train_features, score_features, columns).withColumnRenamed("score", "nearest")
     lof = lof_scores(train_features, score_features, columns).withColumnRenamed("score", "lof")
     iso = isolation_scores(train_features, score_features, columns, seed=seed).withColumnRenamed("score", "isolation")
     names = ["nearest", "lof", "isolation"]
-    joined = near.join(lof, "sample_id").join(iso, "sample_id")
+    joined = near.join(lof, "sample_id").join(iso, "sample_id").select("sample_id", *[F.round(n, 9).alias(n) for n in names])
     ranked = rank01(joined, ["sample_id"], names, ["sample_id"])
     total = sum(weights)
     score = sum((F.col(f"r_{n}") * (w / total) for n, w in zip(names, weights)), F.lit(0.0))
@@ -183,14 +185,14 @@ def rank_ensemble(
 def complementary_scores(
     train_features: DataFrame, score_features: DataFrame, k: int = 1, seed: int = 42
 ) -> DataFrame:
-    """Mean average-rank of route kNN, speed isolation, shape LOF and modal deviation."""
+    """Mean average-rank of route kNN, speed isolation, shape LOF and modal deviation, each taken to nine digits."""
     route = nearest_profile_scores(train_features, score_features, SUBSPACES["route"], k=k)
     speed = isolation_scores(train_features, score_features, SUBSPACES["speed"], seed=seed)
     shape = lof_scores(train_features, score_features, SUBSPACES["shape"], k=k)
     modal = modal_deviation(train_features, score_features)
     long = None
     for name, part in (("route", route), ("speed", speed), ("shape", shape), ("modal", modal)):
-        rows = part.select("sample_id", F.lit(name).alias("component"), F.col("score").alias("value"))
+        rows = part.select("sample_id", F.lit(name).alias("component"), F.round("score", 9).alias("value"))
         long = rows if long is None else long.unionByName(rows)
     return mean_rank(materialize(long))
 

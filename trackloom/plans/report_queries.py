@@ -810,13 +810,60 @@ def pca_residuals(spark, sf):
     )
 
 
-@query("rank_ensemble")
+_TRIO = ["nearest", "lof", "isolation"]
+
+
+@query(
+    "rank_ensemble",
+    select(
+        "sample_id, ~r_nearest, ~r_lof, ~r_isolation, ~r_nearest * 0.4::DOUBLE + r_lof * 0.35::DOUBLE + r_isolation * 0.25::DOUBLE AS score",
+        "ens",
+        [
+            *sql.MOTION, sql.HANDCRAFTED, sql.SPLIT,
+            *sql.knn("e1", "hand", "sample_id", motion.HANDCRAFTED, 1),
+            *sql.lof("e2", "hand", "sample_id", motion.HANDCRAFTED, 20),
+            *sql.isolation("e3", "hand", "sample_id", motion.HANDCRAFTED),
+            "trio AS MATERIALIZED (SELECT sample_id, " + ", ".join(f"round(e{k + 1}.score, 9) AS {n}" for k, n in enumerate(_TRIO)) + " FROM e1 JOIN e2 USING (sample_id) JOIN e3 USING (sample_id))",
+            sql.rank01("ens", "trio", "sample_id", _TRIO, "sample_id"),
+        ],
+    ),
+)
 def rank_ensemble(spark, sf):
     train, score = train_score(spark, sf, motion.handcrafted_features(points(spark, sf)))
     return ensembles.rank_ensemble(train, score, motion.HANDCRAFTED)
 
 
-@query("complementary_scores")
+def _modal_sql(name: str, columns: list[str]) -> list[str]:
+    """Mean distance of validation rows from the training median in MADs, over the columns that have one."""
+    median = ", ".join(f"median({c}) AS m_{c}" for c in columns)
+    mad = ", ".join(f"median(abs({c} - m_{c})) AS d_{c}" for c in columns)
+    total = " + ".join(f"CASE WHEN d_{c} > 0 THEN abs({c} - m_{c}) / d_{c} ELSE 0 END" for c in columns)
+    used = " + ".join(f"(d_{c} > 0)::INT" for c in columns)
+    return [
+        f"{name}_tv AS (SELECT * FROM hand JOIN split USING (sequence))",
+        f"{name}_m AS (SELECT {median} FROM {name}_tv WHERE split = 'train')",
+        f"{name}_d AS (SELECT {mad} FROM {name}_tv, {name}_m WHERE split = 'train')",
+        f"{name} AS (SELECT sample_id, CASE WHEN {used} = 0 THEN 0 ELSE ({total}) / ({used}) END AS score FROM {name}_tv, {name}_m, {name}_d WHERE split = 'val')",
+    ]
+
+
+@query(
+    "complementary_scores",
+    select(
+        "sample_id, ~avg(r) AS score",
+        """(SELECT sample_id, CASE WHEN max(v) OVER p <= min(v) OVER p THEN 0 ELSE (rank() OVER (PARTITION BY c ORDER BY v) + (count(*) OVER (PARTITION BY c, v) - 1) / 2 - 1) / (count(*) OVER p - 1) END AS r
+            FROM four WINDOW p AS (PARTITION BY c)) x""",
+        [
+            *sql.MOTION, sql.HANDCRAFTED, sql.SPLIT,
+            *sql.knn("c1", "hand", "sample_id", ensembles.SUBSPACES["route"], 1),
+            *sql.isolation("c2", "hand", "sample_id", ensembles.SUBSPACES["speed"]),
+            *sql.lof("c3", "hand", "sample_id", ensembles.SUBSPACES["shape"], 1),
+            *_modal_sql("c4", ensembles.SUBSPACES["modal"]),
+            "four AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT sample_id, {k} AS c, round(score, 9) AS v FROM c{k}" for k in (1, 2, 3, 4)) + ")",
+        ],
+        "GROUP BY sample_id",
+    ),
+)
 def complementary_scores(spark, sf):
     train, score = train_score(spark, sf, motion.handcrafted_features(points(spark, sf)))
     return ensembles.complementary_scores(train, score)
