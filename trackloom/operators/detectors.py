@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import clamp, finite, saturate01
+from trackloom.functions.geometry import clamp, finite, length, saturate01
 from trackloom.operators.knn import knn_join, local_outlier_factors, mean_neighbour_distance, vectorize
 from trackloom.operators.motion import TRACK, simple_components, track_steps
 from trackloom.operators.ranks import column_profile, robust_by_group, robust_columns
@@ -121,12 +121,12 @@ def lightweight_group_scores(points: DataFrame) -> DataFrame:
             F.col(c), F.col(f"l_{c}"), F.col(f"h_{c}"), F.col(f"u_{c}"), F.col("_size")
         )
 
-    leaving = F.hypot(F.col("bx") - F.col("m_bx"), F.col("by") - F.col("m_by")) - F.hypot(
+    leaving = length(F.col("bx") - F.col("m_bx"), F.col("by") - F.col("m_by")) - length(
         F.col("ax") - F.col("m_ax"), F.col("ay") - F.col("m_ay")
     )
     raw = objects.join(window, "window_id").select(
         *OBJECT,
-        F.hypot(F.col("dx") - other("dx"), F.col("dy") - other("dy")).alias("motion_inconsistency"),
+        length(F.col("dx") - other("dx"), F.col("dy") - other("dy")).alias("motion_inconsistency"),
         F.when(F.col("n") >= 2, F.greatest(F.lit(0.0), leaving)).otherwise(F.lit(0.0)).alias("group_leaving"),
         "modal_inconsistency",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.geometry import length
 from trackloom.operators.motion import TRACK, handcrafted_features
 from trackloom.operators.neighbours import FRAME, neighbour_stats
 from trackloom.operators.scale import percentiles
@@ -47,7 +48,7 @@ CONTEXT = [
 def frame_dispersion(points: DataFrame) -> DataFrame:
     """Size, centroid and mean distance to the centroid of every frame group."""
     center = points.groupBy(*FRAME).agg(F.avg("cx").alias("_mx"), F.avg("cy").alias("_my"))
-    away = F.hypot(F.col("cx") - F.col("_mx"), F.col("cy") - F.col("_my"))
+    away = length(F.col("cx") - F.col("_mx"), F.col("cy") - F.col("_my"))
     return (
         points.join(center, FRAME)
         .groupBy(*FRAME)
@@ -59,7 +60,7 @@ def window_speeds(points: DataFrame) -> DataFrame:
     """Speed into each point from the object's previous point in the window (null first)."""
     w = Window.partitionBy("window_id", "track_id").orderBy("frame_id")
     gap = F.greatest(F.col("frame_id") - F.lag("frame_id").over(w), F.lit(1))
-    step = F.hypot(F.col("cx") - F.lag("cx").over(w), F.col("cy") - F.lag("cy").over(w))
+    step = length(F.col("cx") - F.lag("cx").over(w), F.col("cy") - F.lag("cy").over(w))
     return points.withColumn("speed", step / gap)
 
 
@@ -216,7 +217,7 @@ def context_features(points: DataFrame) -> DataFrame:
         F.avg(mean_distance).alias("context_neighbor_distance_mean"),
         F.avg("dispersion").alias("context_group_dispersion_mean"),
         F.avg(isolated.cast("double")).alias("context_isolation_ratio"),
-        F.avg(F.hypot(F.col("vx") - F.col("_gx"), F.col("vy") - F.col("_gy"))).alias("context_relative_speed_mean"),
+        F.avg(length(F.col("vx") - F.col("_gx"), F.col("vy") - F.col("_gy"))).alias("context_relative_speed_mean"),
     )
 
 

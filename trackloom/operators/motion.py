@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import distance, heading_change, step_angle
+from trackloom.functions.geometry import distance, heading_change, length, step_angle
 from trackloom.operators.scale import one_chunk, percentiles, with_previous
 
 TRACK = ["sample_id", "sequence", "track_id"]
@@ -61,14 +61,14 @@ def step_columns() -> dict[str, Column]:
     """Motion columns from prev1..prev3 centres; null where history is too short."""
     (dx0, dy0, gap0), (dx1, dy1, gap1), (dx2, dy2, gap2) = _step(0), _step(1), _step(2)
     speed0, speed1, speed2 = (
-        F.hypot(dx0, dy0) / gap0,
-        F.hypot(dx1, dy1) / gap1,
-        F.hypot(dx2, dy2) / gap2,
+        length(dx0, dy0) / gap0,
+        length(dx1, dy1) / gap1,
+        length(dx2, dy2) / gap2,
     )
     return {
         "dx": dx0,
         "dy": dy0,
-        "step": F.hypot(dx0, dy0),
+        "step": length(dx0, dy0),
         "gap": F.col("frame_id") - F.col("prev1_frame_id"),
         "speed": speed0,
         "acceleration": F.abs(speed0 - speed1),
@@ -116,10 +116,10 @@ def modality_velocity(observations: DataFrame, fps: float | None = None) -> Data
         *[F.col(c) for c in (*TRACK, "modality", "frame_id")],
         vx.alias("vx"),
         vy.alias("vy"),
-        F.hypot(vx, vy).alias("speed"),
+        length(vx, vy).alias("speed"),
     ]
     if fps is not None:
-        out.append((F.hypot(vx, vy) * fps).alias("speed_per_second"))
+        out.append((length(vx, vy) * fps).alias("speed_per_second"))
     return lagged.select(*out)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.functions.geometry import length
+
 BLOCK_OBJECTS = 512
 FRAME = ["window_id", "frame_id"]
 
@@ -172,7 +174,7 @@ def knn_edges(
     stats = neighbour_stats(points, group, k=k, extra=("vx", "vy"))
     mine = points.select(*group, "track_id", F.col("vx").alias("_vx"), F.col("vy").alias("_vy"))
     pairs = stats.select(*group, "track_id", F.explode("nearest").alias("n")).join(mine, [*group, "track_id"])
-    apart = F.hypot(F.col("n.vx") - F.col("_vx"), F.col("n.vy") - F.col("_vy"))
+    apart = length(F.col("n.vx") - F.col("_vx"), F.col("n.vy") - F.col("_vy"))
     return (
         pairs.where((F.col("n.distance") <= max_distance) & (apart <= max_velocity))
         .select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import box_center, box_iou, fused_confidence, repaired_box_area
+from trackloom.functions.geometry import box_center, box_iou, fused_confidence, length, repaired_box_area
 
 KEYS = ["sequence", "track_id", "frame_id"]
 BOX = ["x", "y", "w", "h"]
@@ -59,7 +59,7 @@ def modal_relation(observations: DataFrame) -> DataFrame:
         {
             "modal_dx": F.when(both, dx),
             "modal_dy": F.when(both, dy),
-            "modal_offset": F.when(both, F.hypot(dx, dy)),
+            "modal_offset": F.when(both, length(dx, dy)),
             "modal_iou": box_iou(boxes["rgb"], boxes["thermal"]),
         }
     )
@@ -114,7 +114,7 @@ def parse_relation(rows: DataFrame, keep_empty: bool = True) -> DataFrame:
     out = rows.withColumns(parsed | given)
     dx, dy = F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy")
     boxes = [{c: F.col(f"{m}_{c}") for c in BOX} for m in ("rgb", "thermal")]
-    inferred = dict(zip(RELATION, (dx, dy, F.hypot(dx, dy), box_iou(*boxes))))
+    inferred = dict(zip(RELATION, (dx, dy, length(dx, dy), box_iou(*boxes))))
     none = F.coalesce(*RELATION).isNull()
     both = F.col("rgb_cx").isNotNull() & F.col("thermal_cx").isNotNull()
     source = F.when(~none, F.lit("given")).when(both, F.lit("inferred"))
@@ -134,7 +134,7 @@ def standardize(observations: DataFrame) -> DataFrame:
     missing = F.array_compact(
         F.array(*[F.when(~has[m], F.lit(m)) for m in ("rgb", "thermal")])
     )
-    offset = F.hypot(F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy"))
+    offset = length(F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy"))
     return observations.select(
         "*",
         has["rgb"].alias("has_rgb"),
@@ -154,7 +154,7 @@ def fuse_points(observations: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     has_th = F.col("thermal_cx").isNotNull() & F.col("thermal_cy").isNotNull()
     both = has_rgb & has_th
     offset = F.when(
-        both, F.hypot(F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy"))
+        both, length(F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy"))
     ).otherwise(F.lit(0.0))
 
     def merged(axis: str):

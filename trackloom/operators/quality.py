@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import box_iou
+from trackloom.functions.geometry import box_iou, length
 from trackloom.operators.motion import TRACK, temporal_linkage
 
 BOX = ("x", "y", "w", "h")
@@ -96,7 +96,7 @@ def cross_modal_quality(observations: DataFrame) -> DataFrame:
     rgb, th = _presence()
     both = rgb & th
     boxes = {m: {c: F.col(f"{m}_{c}") for c in BOX} for m in ("rgb", "thermal")}
-    offset = F.hypot(F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy"))
+    offset = length(F.col("thermal_cx") - F.col("rgb_cx"), F.col("thermal_cy") - F.col("rgb_cy"))
     rows = with_boxes(observations).where(rgb | th).select(
         "sequence",
         rgb.alias("_rgb"),

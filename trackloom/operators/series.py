@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.geometry import length
 from trackloom.operators.motion import TRACK
 from trackloom.operators.scale import dense_position, one_chunk, running, with_previous
 from trackloom.session import materialize
@@ -75,7 +76,7 @@ def track_channels(points: DataFrame) -> DataFrame:
         "cy",
         vx.alias("vx"),
         vy.alias("vy"),
-        F.hypot(vx, vy).alias("speed"),
+        length(vx, vy).alias("speed"),
         "confidence",
         "modal_offset",
         (F.col("w") * F.col("h")).alias("area"),
@@ -144,7 +145,7 @@ def object_series(points: DataFrame, size: int = 16) -> DataFrame:
         (F.col("_sy") - F.col("gy")).alias("rel_y"),
         "vx",
         "vy",
-        F.hypot("vx", "vy").alias("speed"),
+        length("vx", "vy").alias("speed"),
         F.coalesce("area", zero).alias("area"),
         F.coalesce("modal_offset", zero).alias("modal_offset"),
         "visible",
@@ -203,7 +204,7 @@ def speed_sequences(sensor: DataFrame) -> DataFrame:
     """Per-frame speed, 0 at the first point."""
     lagged = with_previous(sensor, SENSOR_TRACK, "frame_id", ["x", "y"], depth=1)
     gap = F.greatest(F.col("frame_id") - F.col("prev1_frame_id"), F.lit(1))
-    step = F.hypot(F.col("x") - F.col("prev1_x"), F.col("y") - F.col("prev1_y"))
+    step = length(F.col("x") - F.col("prev1_x"), F.col("y") - F.col("prev1_y"))
     return lagged.select(*SENSOR_TRACK, "frame_id", F.coalesce(step / gap, F.lit(0.0)).alias("speed"))
 
 
@@ -215,7 +216,7 @@ def route_sequences(sensor: DataFrame, step: float = 10.0) -> DataFrame:
     """
     single = one_chunk(sensor, "frame_id")
     lagged = with_previous(sensor, SENSOR_TRACK, "frame_id", ["x", "y"], depth=1, single=single)
-    moved = F.coalesce(F.hypot(F.col("x") - F.col("prev1_x"), F.col("y") - F.col("prev1_y")), F.lit(0.0))
+    moved = F.coalesce(length(F.col("x") - F.col("prev1_x"), F.col("y") - F.col("prev1_y")), F.lit(0.0))
     travelled = running(
         lagged.withColumn("_d", moved), SENSOR_TRACK, "frame_id", {"cum": ("sum", "_d")}, single=single
     )
@@ -270,7 +271,7 @@ def shape_sequences(
     )
     placed = materialize(indexed(kept, SENSOR_TRACK))
     steps = with_previous(placed, SENSOR_TRACK, "frame_id", ["x", "y"], depth=1, single=single).withColumn(
-        "_d", F.coalesce(F.hypot(F.col("x") - F.col("prev1_x"), F.col("y") - F.col("prev1_y")), F.lit(0.0))
+        "_d", F.coalesce(length(F.col("x") - F.col("prev1_x"), F.col("y") - F.col("prev1_y")), F.lit(0.0))
     )
     stats = steps.groupBy(*SENSOR_TRACK).agg(
         F.min_by(F.struct("x", "y"), "frame_id").alias("_a"),

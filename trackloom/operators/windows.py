@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.geometry import length
 from trackloom.operators.pairing import fuse_points
 from trackloom.operators.scale import dense_position
 
@@ -117,7 +118,7 @@ def linear_prediction(points: DataFrame) -> DataFrame:
         rate = (F.col(f"_c{axis}1") - F.col(f"_c{axis}2")) / gap_then
         return F.col(f"_c{axis}1") + rate * gap_now
 
-    residual = F.hypot(predicted("x") - F.col("cx"), predicted("y") - F.col("cy"))
+    residual = length(predicted("x") - F.col("cx"), predicted("y") - F.col("cy"))
     return rows.groupBy(*OBJECT).agg(F.coalesce(F.max(residual), F.lit(0.0)).alias("score"))
 
 
