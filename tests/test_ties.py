@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.operators import motion
+from trackloom.plans.registry import rounded
 
 
 def test_steps_are_equal_to_the_last_bit(spark):
@@ -14,3 +15,11 @@ def test_steps_are_equal_to_the_last_bit(spark):
     found = np.array([r["step"] for r in steps.collect()])
     d = np.diff(at, axis=0)
     assert (found == np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1])).all()
+
+
+def test_rounding_follows_the_product(spark):
+    values = [0.8819224999999999, -0.8819224999999999, float("nan"), float("inf"), 1e305, None, 2.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    found = [r["v"] for r in rounded(df).orderBy("i").collect()]
+    assert found[:2] == [0.881923, -0.881923] and np.isnan(found[2])
+    assert found[3:] == [float("inf"), 1e305, None, 2.5]
