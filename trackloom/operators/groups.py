@@ -111,7 +111,7 @@ def _share(changed: str, compared: str):
 
 def group_features(points: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Nine features per window."""
-    stats = stats if stats is not None else neighbour_stats(points)
+    stats = stats if stats is not None else neighbour_stats(points, totals=False)
     frames = (
         frame_dispersion(points)
         .groupBy("window_id")
