@@ -6,6 +6,10 @@ inequality, the other cells that can still hold a neighbour, and only to those i
 goes in a second turn.  None is skipped wrongly.  Cells are cut into blocks of
 bounded size and queries into chunks; a (chunk, block) row is the unit of work for
 a NumPy kernel that keeps only the k best.
+
+Wide vectors lie too evenly for cells to be skipped.  There a task holds a group of
+queries and streams a shard of the base past them; products of matrices find the rows
+that can be among the k best, and only those get their distance in full.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +30,10 @@ BLOCK_ROWS = 2048
 CHUNK_ROWS = 256
 MAX_PIVOTS = 256
 SLACK = 1e-9
+WIDE = 32
+GROUP_ROWS = 32768
+STREAM_TASKS = 56
+TILE = (512, 2048)
 
 
 def vectorize(df: DataFrame, id_col: str, columns: Sequence[str], profile: dict | None = None) -> DataFrame:
@@ -77,6 +86,14 @@ def knn_join(
     placed = apart is not None or within is not None
     id_type = base.schema["id"].dataType
     count = base.count()
+    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    if pivots is None and count and queries.schema["id"].dataType == id_type:
+        if (base.select(F.size("vector").alias("n")).first()["n"] or 0) >= WIDE:
+            return ranked(_streamed(queries, base, count, k, exclude_self, apart, within))
     n_pivots = pivots if pivots is not None else int(min(MAX_PIVOTS, max(1, count // (4 * block))))
 
     def search(routed: DataFrame, cells: DataFrame, sizes: dict[int, int]) -> DataFrame:
@@ -144,11 +161,6 @@ def knn_join(
 
         return pairs.mapInArrow(kernel, schema)
 
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-
-    def ranked(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
     if n_pivots <= 1 or count == 0:
         cells = base.withColumn("_cell", F.lit(0))
         sizes = {0: max(count, 1)}
@@ -161,6 +173,133 @@ def knn_join(
     return ranked(first.unionByName(search(again, cells, sizes)))
 
 
+def _streamed(
+    queries: DataFrame, base: DataFrame, count: int, k: int, exclude_self: bool, apart: float | None, within: float | None
+) -> DataFrame:
+    """The k best of every (query, shard of the base).
+
+    A task gets the rows of its queries first, at most about ``GROUP_ROWS``, then those of its shard one batch at a time.
+    """
+    asked = queries.count()
+    groups = max(-(-asked // GROUP_ROWS), min(8, -(-asked // BLOCK_ROWS)), 1)
+    shards = max(1, min(-(-STREAM_TASKS // groups), -(-count // BLOCK_ROWS)))
+    carried = ["id", "vector", *(["place"] if apart is not None or within is not None else [])]
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = queries.select(*carried, own(groups).alias("_g"), every(shards).alias("_s"), F.lit(0).alias("_kind")).unionByName(
+        base.select(*carried, every(groups).alias("_g"), own(shards).alias("_s"), F.lit(1).alias("_kind"))
+    )
+    rows = rows.select(*carried, (F.col("_g") * shards + F.col("_s")).alias("_task"), "_kind")
+    rows = rows.repartition(groups * shards, "_task").sortWithinPartitions("_task", "_kind")
+    id_type = base.schema["id"].dataType
+    schema = T.StructType(
+        [T.StructField("query_id", id_type), T.StructField("neighbor_id", id_type), T.StructField("distance", T.DoubleType())]
+    )
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, task = None, None
+        for batch in batches:
+            tasks, kinds = (batch.column(c).to_numpy() for c in ("_task", "_kind"))
+            cuts = np.flatnonzero(np.diff(tasks) | np.diff(kinds)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if start == stop:
+                    continue
+                if tasks[start] != task:
+                    if state is not None:
+                        yield state.found()
+                    state, task = _Best(k, exclude_self, apart, within), tasks[start]
+                part = batch.slice(int(start), int(stop - start))
+                state.meet(part) if kinds[start] else state.ask(part)
+        if state is not None:
+            yield state.found()
+
+    return rows.mapInArrow(kernel, schema)
+
+
+class _Best:
+    """The k best rows so far of some queries, by distance, then id."""
+
+    def __init__(self, k: int, exclude_self: bool, apart: float | None, within: float | None):
+        self.k, self.exclude_self, self.apart, self.within = k, exclude_self, apart, within
+        self.parts: list[pa.RecordBatch] = []
+        self.ids = None
+
+    def ask(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def meet(self, part: pa.RecordBatch) -> None:
+        if not self.parts:
+            return
+        if self.ids is None:
+            self._begin(part.column("id"))
+        b_ids, b = part.column("id"), _matrix(part.column("vector"))
+        names = b_ids.to_numpy(zero_copy_only=False)
+        norms = (b * b).sum(axis=1)
+        # what rounding can add to a square taken from a product of matrices
+        longest = sum(np.sqrt(n.max(where=np.isfinite(n), initial=0.0)) for n in (self.norms, norms))
+        error = (b.shape[1] + 8) * np.finfo(float).eps * 2 * longest**2
+        same = pc.fill_null(pc.index_in(b_ids, value_set=self.ids), -1).to_numpy(zero_copy_only=False) if self.exclude_self else None
+        place = _matrix(part.column("place")) if self.place is not None else None
+        for i in range(0, len(self.vectors), TILE[0]):
+            q = self.vectors[i : i + TILE[0]]
+            for j in range(0, len(b), TILE[1]):
+                cols = slice(j, min(j + TILE[1], len(b)))
+                square = q @ (-2.0 * b[cols]).T
+                square += self.norms[i : i + TILE[0], None]
+                square += norms[None, cols]
+                if same is not None:
+                    hit = np.flatnonzero((same[cols] >= i) & (same[cols] < i + len(q)))
+                    square[same[cols][hit] - i, hit] = np.inf
+                if place is not None:
+                    gap = _distances(self.place[i : i + TILE[0]], place[cols])
+                    if self.apart is not None:
+                        square[gap <= self.apart] = np.inf
+                    if self.within is not None:
+                        square[gap > self.within] = np.inf
+                limit = self.limit[i : i + len(q)]
+                if square.shape[1] >= self.k and np.isinf(limit).any():
+                    limit = np.minimum(limit, np.partition(square, self.k - 1, axis=1)[:, self.k - 1])
+                rows, at = np.nonzero((square <= limit[:, None] + 2 * error) & (square < np.inf))
+                if len(rows):
+                    self._merge(rows + i, names[cols][at], self.vectors[rows + i], b[cols][at])
+
+    def _begin(self, b_ids: pa.Array) -> None:
+        table = pa.Table.from_batches(self.parts)
+        self.ids = table["id"].combine_chunks()
+        self.vectors = _matrix(table["vector"].combine_chunks())
+        self.place = _matrix(table["place"].combine_chunks()) if "place" in table.column_names else None
+        self.norms = (self.vectors * self.vectors).sum(axis=1)
+        shape = (len(self.ids), self.k)
+        self.distance = np.full(shape, np.inf)
+        self.names = np.full(shape, b_ids[0].as_py(), dtype=b_ids.to_numpy(zero_copy_only=False).dtype)
+        self.limit = np.full(len(self.ids), np.inf)
+
+    def _merge(self, rows: np.ndarray, names: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        total = np.zeros(len(rows))
+        for axis in range(a.shape[1]):
+            step = a[:, axis] - b[:, axis]
+            total += step * step
+        touched, local = np.unique(rows, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), local])
+        distance = np.concatenate([self.distance[touched].ravel(), np.sqrt(total)])
+        name = np.concatenate([self.names[touched].ravel(), names])
+        order = np.lexsort((name, distance, row))
+        first = np.searchsorted(row[order], np.arange(len(touched)))
+        kept = order[first[:, None] + np.arange(self.k)]
+        self.distance[touched], self.names[touched] = distance[kept], name[kept]
+        self.limit[touched] = self.distance[touched, -1] ** 2
+
+    def found(self) -> pa.RecordBatch:
+        if self.ids is None:
+            kind = self.parts[0].column("id").type if self.parts else pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names=["query_id", "neighbor_id", "distance"])
+        rows, at = np.nonzero(np.isfinite(self.distance))
+        return pa.RecordBatch.from_arrays(
+            [self.ids.take(pa.array(rows)), pa.array(self.names[rows, at], self.ids.type), pa.array(self.distance[rows, at])],
+            names=["query_id", "neighbor_id", "distance"],
+        )
+
+
 def _route(queries: DataFrame, base: DataFrame, n_pivots: int):
     """Cell of each base row, cell sizes, the own cell of each query, and what sends queries with a reach to other cells.
 
