@@ -64,3 +64,21 @@ def test_crowded_frames_and_missing_places(spark):
                 assert not totals or r["num_near"] == expected[r["track_id"]][1]
         a = next(r for r in got if r["track_id"] == "a")
         assert a["num_others"] == 2 and a["nearest"][0]["id"] == "b" and a["nearest"][0]["distance"] == 5.0
+
+
+def test_normals_come_from_the_nearest_points(spark, monkeypatch):
+    """No pair of points is written: the plan has no join of blocks."""
+    from trackloom.operators import cloud
+
+    at = np.random.default_rng(5).normal(0, 1, (400, 3))
+    rows = [(p, i, *map(float, v)) for p in (0, 1) for i, v in enumerate(at * (p + 1))]
+    df = spark.createDataFrame(rows, "pair_id int, pt long, x double, y double, z double")
+    found = cloud.normals(df, 8)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    for block in (65536, 150):
+        got = {(r["pair_id"], r["pt"]): np.array(r["normal"]) for r in cloud.normals(df, 8, block).collect()}
+        assert len(got) == 800
+        for i in range(400):
+            order = np.argsort(((at - at[i]) ** 2).sum(1), kind="stable")[1:9]
+            thin = np.linalg.eigh(np.cov(at[order].T, bias=True))[1][:, 0]
+            assert abs(got[0, i] @ thin) == pytest.approx(1) and abs(got[1, i] @ thin) == pytest.approx(1)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import nearest
+from trackloom.operators.neighbours import BLOCK_OBJECTS, neighbour_stats
 from trackloom.operators.protocol import hash_order
 from trackloom.operators.retrieval import uniform_hash
 from trackloom.operators.scale import percentiles
@@ -423,28 +424,15 @@ def _self_blocks(points: DataFrame, block: int) -> DataFrame:
     return left.join(packed.select("pair_id", "_b", F.col("_m").alias("_o")), ["pair_id", "_b"])
 
 
-def normals(points: DataFrame, k: int = 8, block: int = NEAR_BLOCK) -> DataFrame:
+def normals(points: DataFrame, k: int = 8, block: int = BLOCK_OBJECTS) -> DataFrame:
     """Unit normal of every point: the thinnest direction of its k nearest points.
 
     Spark finds the neighbours and sums their moments; NumPy takes the smallest
     eigenvector of the 3 x 3 covariances, batched.  The largest component of a
     normal is positive.
     """
-    met = _self_blocks(points, block)
-
-    def near(a):
-        found = F.transform(
-            F.filter("_o", lambda b: b["pt"] != a["pt"]),
-            lambda b: F.struct(
-                sum(((a[c] - b[c]) ** 2 for c in AXES), F.lit(0.0)).alias("d2"), b["pt"].alias("pt"), *[b[c].alias(c) for c in AXES]
-            ),
-        )
-        return F.struct(a["pt"].alias("pt"), F.slice(F.array_sort(found), 1, k).alias("found"))
-
-    rows = met.select("pair_id", F.explode(F.transform("_m", near)).alias("r")).select("pair_id", "r.*")
-    hits = rows.select("pair_id", "pt", F.explode("found").alias("n"))
-    w = Window.partitionBy("pair_id", "pt").orderBy("n.d2", "n.pt")
-    best = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    near = neighbour_stats(points, ["pair_id"], "pt", AXES, k, extra=AXES, block=block, totals=False)
+    best = near.select("pair_id", "pt", F.explode("nearest").alias("n"))
     moments = best.groupBy("pair_id", "pt").agg(
         *[F.covar_pop(f"n.{a}", f"n.{b}").alias(f"c{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
     )

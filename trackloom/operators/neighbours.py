@@ -3,7 +3,7 @@
 A frame of at most ``BLOCK_OBJECTS`` objects (checked) is one group of rows in one
 task; a larger one is cut into hash blocks and each block meets every other one on
 an equi key, so the work of a frame spreads over tasks and a task holds two blocks.
-The k nearest are searched leaf by leaf of a plane cut into leaves of equal size:
+The k nearest are searched leaf by leaf of a space cut into leaves of equal size:
 leaves that lie further away than k objects already found are skipped.  Sums of distances and
 counts within a radius need every pair; they are added up tile by tile.
 """
@@ -153,13 +153,17 @@ def _best(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _leaves(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in leaf order, where leaves start, and their least and largest coordinates: strips along the first axis, cut along the last."""
-    n = at.shape[1]
-    strips = max(1, int(np.sqrt(n / LEAF)))
-    wide = -(-n // (strips * LEAF)) * LEAF
-    strip = np.empty(n, np.int64)
-    strip[np.argsort(at[0], kind="stable")] = np.arange(n) // wide
-    order = np.lexsort((at[-1], strip))
+    """Positions in leaf order, where leaves start, and their least and largest coordinates: slabs are cut axis by axis."""
+    width, n = at.shape
+    wide, slab = n, np.zeros(n, np.int64)
+    for axis in range(width - 1):
+        cuts = max(1, int((wide / LEAF) ** (1 / (width - axis))))
+        narrow = -(-wide // (cuts * LEAF)) * LEAF
+        order = np.lexsort((at[axis], slab))
+        inside = np.arange(n) - np.searchsorted(slab[order], slab[order])
+        slab[order] = slab[order] * -(-wide // narrow) + inside // narrow
+        wide = narrow
+    order = np.lexsort((at[-1], slab))
     starts = np.arange(0, n, LEAF)
     placed = at[:, order]
     return order, starts, np.minimum.reduceat(placed, starts, axis=1), np.maximum.reduceat(placed, starts, axis=1)
