@@ -425,3 +425,23 @@ def test_context_features_for_a_lonely_track(spark):
     )
     row = groups.context_features(neighbours.with_window_motion(df)).first()
     assert row["context_nearest_distance_mean"] == 20.0 and row["context_isolation_ratio"] == 1.0
+
+
+def test_shape_of_a_turning_track(spark):
+    # two repeats of a place, a right angle and a way back; a track that stands still has no shape
+    places = [(0.0, 0.0), (0.0, 0.0), (3.0, 0.0), (3.0, 4.0), (3.0, 4.0), (1.0, 4.0)]
+    rows = [("s:1", "s", "1", f, "rgb", x, y) for f, (x, y) in enumerate(places)] + [("s:2", "s", "2", f, "rgb", 1.0, 1.0) for f in range(4)]
+    sensor = spark.createDataFrame(rows, "sample_id string, sequence string, track_id string, frame_id int, modality string, x double, y double")
+    got = series.shape_sequences(sensor, time_step=0.1).orderBy("slot").collect()
+    kept = np.array([p for i, p in enumerate(places) if i == 0 or p != places[i - 1]])
+    path = np.linalg.norm(np.diff(kept, axis=0), axis=1).sum()
+    stamps, at = np.arange(len(kept)) / path, (kept - kept[0]) / path
+    grid = [*np.arange(0.0, stamps[-1], 0.1), stamps[-1]]
+    curve = np.stack([np.interp(grid, stamps, at[:, c]) for c in (0, 1)], axis=1)
+    z = (curve - curve.mean(axis=0)) / curve.std(axis=0)
+    main, side = (z[:, 0] + z[:, 1]) / math.sqrt(2), (z[:, 0] - z[:, 1]) / math.sqrt(2)
+    if (z[:, 0] * z[:, 1]).sum() < 0:
+        main, side = side, main
+    assert {r["sample_id"] for r in got} == {"s:1"}
+    assert [r["main_axis"] for r in got] == pytest.approx(list(main))
+    assert [r["side_axis"] for r in got] == pytest.approx(list(side))

@@ -280,9 +280,9 @@ def shape_sequences(
     )
     usable = stats.where((F.col("_len") > max(EPSILON, min_length)) & (F.col("_moves") >= min_moves))
     rows = steps.join(usable, SENSOR_TRACK).where(F.col("n") >= 2)
-    length, i, n = F.col("_len"), F.col("index"), F.col("n")
-    total = (n - 1) / length
-    stamp, before = i / length, (i - 1) / length
+    path, i, n = F.col("_len"), F.col("index"), F.col("n")
+    total = (n - 1) / path
+    stamp, before = i / path, (i - 1) / path
     whole = total >= time_step
     is_end = i == n - 1
     last_grid = F.ceil(total / time_step) - 1
@@ -298,12 +298,12 @@ def shape_sequences(
     )
     spread = rows.withColumn("slot", F.explode(F.when(whole, F.concat(inner, tail)).otherwise(short)))
     share = F.when(is_end & (F.col("slot") > last_grid), F.lit(1.0)).otherwise(
-        (F.col("slot") * time_step - before) * length
+        (F.col("slot") * time_step - before) * path
     )
 
     def at(c: str):
-        here = (F.col(c) - F.col(f"_a.{c}")) / length
-        then = (F.col(f"prev1_{c}") - F.col(f"_a.{c}")) / length
+        here = (F.col(c) - F.col(f"_a.{c}")) / path
+        then = (F.col(f"prev1_{c}") - F.col(f"_a.{c}")) / path
         return F.when((i == 0) | ~whole, here).otherwise(then + (here - then) * share)
 
     curve = materialize(spread.select(*SENSOR_TRACK, "slot", at("x").alias("x"), at("y").alias("y")))
