@@ -65,3 +65,31 @@ def test_compared_pairs_grow_with_the_points(spark):
     assert compared < 500 * n
     done, left = nearest.in_rings(source, target, axes, rings=(1,))
     assert done.count() + left.count() == n and left.count() < n / 50
+
+
+def test_leaves_in_one_shuffle(spark, monkeypatch):
+    """Clouds of a few thousand points take one plan of one shuffle, not a join per ring; several blocks and rings find the same."""
+    r = np.random.default_rng(2)
+    target = {1: r.random((5000, 3)), 2: np.repeat(r.random((700, 3)), 5, axis=0), 3: r.random((30, 3))}
+    source = {p: np.concatenate([r.random((600, 3)), r.normal(0, 9, (9, 3))]) for p in target}
+    a, b = frame(spark, source), frame(spark, target)
+    found = cloud.nearest_points(a.where("pair_id < 3"), b.where("pair_id < 3"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0 and plan.count("MapInArrow") == 1
+    want = brute(source, target)
+    rows = lambda df: {(x.pair_id, x.pt): (x.near.d2, x.near.pt) for x in df.collect()}
+    got = rows(found)
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items() if k[0] < 3}
+    assert all(d2 == pytest.approx(want[k][0], rel=1e-12) for k, (d2, _) in got.items())
+    assert rows(nearest.by_leaves(a, b, list("xyz"), block=512, part=100)) == rows(nearest.by_leaves(a, b, list("xyz")))
+    monkeypatch.setattr(nearest, "MANY", 4000)
+    assert rows(cloud.nearest_points(a, b, few=100)) == rows(nearest.by_leaves(a, b, list("xyz")))
+
+
+def test_points_without_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    target = spark.createDataFrame([(1, k, float(k), 0.0, 0.0) for k in range(40)] + [(1, 40, nan, 0.0, 0.0), (1, 41, None, 0.0, 0.0), (1, 42, inf, 0.0, 0.0)], SCHEMA)
+    source = spark.createDataFrame([(1, 0, 3.2, 0.0, 0.0), (1, 1, nan, 0.0, 0.0), (1, 2, None, 0.0, 0.0), (1, 3, -inf, 0.0, 0.0)], SCHEMA)
+    for few in (10, 100):
+        got = {x.pt: (x.near.d2, x.near.pt) for x in cloud.nearest_points(source, target, few=few).collect()}
+        assert got[0] == (pytest.approx(0.04), 3) and np.isnan(got[1][0]) and got[2][0] is None and got[3] == (inf, 0)
