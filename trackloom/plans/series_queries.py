@@ -440,7 +440,7 @@ def _recovered(found):
 
 @query("icp_small_motion", select("pair_id, true AS found, true AS placed", "(SELECT DISTINCT pair_id FROM cl) p", [_CLOUD]))
 def icp_small_motion(spark, sf):
-    """A motion smaller than the gaps between points is found exactly; clouds over 20 points go by voxel rings."""
+    """A motion smaller than the gaps between points is found exactly; clouds over 20 points are searched, not met all at once."""
     source, target = _nudged(spark, sf)
     return _recovered(cloud.icp(source, target, rounds=12, few=20))
 
@@ -556,11 +556,11 @@ def robustness_cases(spark, sf):
     cases = None
     for name in cloud.CASES:
         seen = materialize(cloud.case_clouds(source, name))
-        solved = cloud.kabsch(seen.join(there, ["pair_id", "pt"]))
+        solved = materialize(cloud.kabsch(seen.join(there, ["pair_id", "pt"])))
         estimates = solved.select(F.lit("kabsch").alias("method"), "pair_id", "pose", F.lit(0.0).alias("runtime_sec"))
-        moved = cloud.apply_pose(source.join(solved, "pair_id")).drop("pose")
+        moved = materialize(cloud.apply_pose(source.join(solved, "pair_id")).drop("pose"))
         distances = cloud.chamfer(moved, target).withColumn("method", F.lit("kabsch"))
         results = cloud.pair_results(estimates, poses, distances)
-        part = cloud.registration_metrics(results).withColumn("case", F.lit(name))
+        part = materialize(cloud.registration_metrics(results).withColumn("case", F.lit(name)))
         cases = part if cases is None else cases.unionByName(part)
-    return cloud.macro_metrics(materialize(cases))
+    return cloud.macro_metrics(cases)
