@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackloom.llm import line_join as L
@@ -161,3 +162,14 @@ def test_packed_postings_come_back():
     assert got == sorted(zip(*[lines[k][of].tolist() for k in names], pos.tolist(), role.tolist()))
     whole = sorted(np.concatenate([r["token"][r["pos"] < 0] for r in rows]).tolist())
     assert whole == sorted(token[pos < 0].tolist())
+
+
+def test_hot_tokens_are_counted_on_all_documents(spark, documents, monkeypatch):
+    monkeypatch.setattr(L, "COUNTED", 10, raising=False)  # once the words above which a share of the documents was counted
+    rows = L._table(documents([(i, " ".join(f"a{(i * k) % 17}" for k in range(1, 9))) for i in range(60)]))
+    order = L.Order(rows, 0.8, 1, 2)
+    texts = pa.array([r._text for r in rows.collect()])
+    _, _, begin, size, word = L.line_sets(texts, order.rank)
+    token = L.signatures(begin, size, word, 0.8)[2]
+    assert len(token) > 60
+    assert (order.hot == np.bincount((token >> L.U64(64 - L.BUCKET_BITS)).astype(np.int64), minlength=1 << L.BUCKET_BITS)).all()
