@@ -38,3 +38,22 @@ def test_wide_vectors_are_not_repeated_per_block(spark, monkeypatch):
     _, df = _rows(spark, 300)
     plan = knn.knn_join(df.select("id", "vector"), df.select("id", "vector"), 3, exclude_self=True)._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_feature_vectors_are_streamed_and_exact(spark, monkeypatch, exclude):
+    """Vectors of some ten components with text ids and many equal rows: no pair of a chunk and a block, every tie by id."""
+    monkeypatch.setattr(knn, "GROUP_ROWS", 100)
+    data = np.random.default_rng(8).normal(0, 1, (260, 9)).round(1)
+    data[200:] = data[3]
+    names = [f"s{i % 7}:{i}" for i in range(260)]
+    df = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, data)], "id string, vector array<double>").repartition(5)
+    found = knn.knn_join(df, df, 5, exclude_self=exclude, block=60)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["distance"], r["neighbor_id"])
+    dist = knn._distances(data, data)
+    for i, name in enumerate(names):
+        best = sorted((dist[i, j], names[j]) for j in range(260) if not (exclude and i == j))[:5]
+        assert [got[name][n + 1] for n in range(5)] == best

@@ -7,9 +7,9 @@ goes in a second turn.  None is skipped wrongly.  Cells are cut into blocks of
 bounded size and queries into chunks; a (chunk, block) row is the unit of work for
 a NumPy kernel that keeps only the k best.
 
-Wide vectors lie too evenly for cells to be skipped.  There a task holds a group of
-queries and streams a shard of the base past them; products of matrices find the rows
-that can be among the k best, and only those get their distance in full.
+Vectors of many components lie too evenly for cells to be skipped.  There a task holds a
+group of queries and streams a shard of the base past them; products of matrices find the
+rows that can be among the k best, and only those get their distance in full.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.operators.scale import row_positions
 from trackloom.session import materialize
 
 BLOCK_ROWS = 2048
@@ -31,6 +32,8 @@ CHUNK_ROWS = 256
 MAX_PIVOTS = 256
 SLACK = 1e-9
 WIDE = 32
+#: Components up to which cells are searched, also of tables of more than a block.
+NARROW = 6
 GROUP_ROWS = 32768
 STREAM_TASKS = 56
 TILE = (512, 2048)
@@ -92,8 +95,13 @@ def knn_join(
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     if pivots is None and count and queries.schema["id"].dataType == id_type:
-        if (base.select(F.size("vector").alias("n")).first()["n"] or 0) >= WIDE:
+        width = base.select(F.size("vector").alias("n")).first()["n"] or 0
+        if width >= WIDE:
             return ranked(_streamed(queries, base, count, k, exclude_self, apart, within))
+        if width > NARROW and count > block and not placed:
+            numbered, few = _numbered(base, k)
+            found = ranked(_streamed(queries, few, few.count(), k, exclude_self, None, None)).withColumnRenamed("neighbor_id", "_n")
+            return found.join(numbered, "_n").select("query_id", "neighbor_id", "distance", "rank")
     n_pivots = pivots if pivots is not None else int(min(MAX_PIVOTS, max(1, count // (4 * block))))
 
     def search(routed: DataFrame, cells: DataFrame, sizes: dict[int, int]) -> DataFrame:
@@ -173,17 +181,28 @@ def knn_join(
     return ranked(first.unionByName(search(again, cells, sizes)))
 
 
+def _numbered(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Ids by their place in order (``_n``), and the rows that can be neighbours: of equal vectors the k + 1 first."""
+    placed = materialize(row_positions(base.select("id", "vector"), [], [("id", True)], "_n").drop("_n_count"))
+    alike = Window.partitionBy("vector").orderBy("_n")
+    few = placed.withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= k + 1).drop("_rn")
+    return placed.select("_n", F.col("id").alias("neighbor_id")), materialize(few)
+
+
 def _streamed(
     queries: DataFrame, base: DataFrame, count: int, k: int, exclude_self: bool, apart: float | None, within: float | None
 ) -> DataFrame:
     """The k best of every (query, shard of the base).
 
     A task gets the rows of its queries first, at most about ``GROUP_ROWS``, then those of its shard one batch at a time.
+    Rows of the base are named by ``_n`` if they have it.
     """
+    named = "_n" in base.columns
+    queries = queries.withColumn("_n", F.lit(None).cast("long")) if named else queries
     asked = queries.count()
     groups = max(-(-asked // GROUP_ROWS), min(8, -(-asked // BLOCK_ROWS)), 1)
     shards = max(1, min(-(-STREAM_TASKS // groups), -(-count // BLOCK_ROWS)))
-    carried = ["id", "vector", *(["place"] if apart is not None or within is not None else [])]
+    carried = ["id", "vector", *(["place"] if apart is not None or within is not None else []), *(["_n"] if named else [])]
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = queries.select(*carried, own(groups).alias("_g"), every(shards).alias("_s"), F.lit(0).alias("_kind")).unionByName(
@@ -193,7 +212,7 @@ def _streamed(
     rows = rows.repartition(groups * shards, "_task").sortWithinPartitions("_task", "_kind")
     id_type = base.schema["id"].dataType
     schema = T.StructType(
-        [T.StructField("query_id", id_type), T.StructField("neighbor_id", id_type), T.StructField("distance", T.DoubleType())]
+        [T.StructField("query_id", id_type), T.StructField("neighbor_id", T.LongType() if named else id_type), T.StructField("distance", T.DoubleType())]
     )
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +249,11 @@ class _Best:
     def meet(self, part: pa.RecordBatch) -> None:
         if not self.parts:
             return
-        if self.ids is None:
-            self._begin(part.column("id"))
         b_ids, b = part.column("id"), _matrix(part.column("vector"))
-        names = b_ids.to_numpy(zero_copy_only=False)
+        b_names = part.column("_n") if "_n" in part.schema.names else b_ids
+        if self.ids is None:
+            self._begin(b_names)
+        names = b_names.to_numpy(zero_copy_only=False)
         norms = (b * b).sum(axis=1)
         # what rounding can add to a square taken from a product of matrices
         longest = sum(np.sqrt(n.max(where=np.isfinite(n), initial=0.0)) for n in (self.norms, norms))
@@ -263,7 +283,7 @@ class _Best:
                 if len(rows):
                     self._merge(rows + i, names[cols][at], self.vectors[rows + i], b[cols][at])
 
-    def _begin(self, b_ids: pa.Array) -> None:
+    def _begin(self, b_names: pa.Array) -> None:
         table = pa.Table.from_batches(self.parts)
         self.ids = table["id"].combine_chunks()
         self.vectors = _matrix(table["vector"].combine_chunks())
@@ -271,7 +291,8 @@ class _Best:
         self.norms = (self.vectors * self.vectors).sum(axis=1)
         shape = (len(self.ids), self.k)
         self.distance = np.full(shape, np.inf)
-        self.names = np.full(shape, b_ids[0].as_py(), dtype=b_ids.to_numpy(zero_copy_only=False).dtype)
+        self.names = np.full(shape, b_names[0].as_py(), dtype=b_names.to_numpy(zero_copy_only=False).dtype)
+        self.kind = b_names.type
         self.limit = np.full(len(self.ids), np.inf)
 
     def _merge(self, rows: np.ndarray, names: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -292,10 +313,11 @@ class _Best:
     def found(self) -> pa.RecordBatch:
         if self.ids is None:
             kind = self.parts[0].column("id").type if self.parts else pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names=["query_id", "neighbor_id", "distance"])
+            names = pa.int64() if self.parts and "_n" in self.parts[0].schema.names else kind
+            return pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], names), pa.array([], pa.float64())], names=["query_id", "neighbor_id", "distance"])
         rows, at = np.nonzero(np.isfinite(self.distance))
         return pa.RecordBatch.from_arrays(
-            [self.ids.take(pa.array(rows)), pa.array(self.names[rows, at], self.ids.type), pa.array(self.distance[rows, at])],
+            [self.ids.take(pa.array(rows)), pa.array(self.names[rows, at], self.kind), pa.array(self.distance[rows, at])],
             names=["query_id", "neighbor_id", "distance"],
         )
 
