@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trackloom.operators import compatibility
+from trackloom.operators import cloud, compatibility
 
 
 def dense(rows, tau, turns):
@@ -63,3 +63,19 @@ def test_empty_table(spark):
     assert compatibility.compatibility_weights(df, 0.1).count() == 0
     with pytest.raises(ValueError):
         compatibility.compatibility_weights(df, 0.0)
+
+
+@pytest.mark.parametrize("block", [37, 8192])
+def test_degrees_count_each_meeting_once(spark, block):
+    """Blocks meet once, in tasks that work on arrays; missing coordinates fit nothing."""
+    rows = [r[:8] for n, pair in ((300, 1), (5, 2), (1, 3)) for r in made(pair, n, 0.5, pair)]
+    rows[7] = (*rows[7][:2], None, *rows[7][3:])
+    df = spark.createDataFrame(rows, "pair_id long, pt long, x double, y double, z double, tx double, ty double, tz double")
+    found = cloud.compatibility(df, 0.1, block)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.pair_id, r.pt): r.degree for r in found.collect()}
+    at = np.array([r[2:] for r in rows], dtype=float)
+    pair = np.array([r[0] for r in rows])
+    length = lambda p: np.linalg.norm(p[:, None] - p[None], axis=-1)
+    fits = (np.abs(length(at[:, :3]) - length(at[:, 3:])) <= 0.1) & (pair[:, None] == pair[None]) & ~np.eye(len(rows), dtype=bool)
+    assert got == {r[:2]: n for r, n in zip(rows, fits.sum(1).tolist())}

@@ -7,10 +7,11 @@ Tables: ``clouds`` (pair_id, side, pt, x, y, z), poses as twelve numbers row by
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from trackloom.session import materialize
 AXES = ["x", "y", "z"]
 POSE_WEIGHT = 50.0
 NEAR_BLOCK = 256
+#: Correspondences of a block, and of a tile of two blocks that is compared at once.
+DEGREE_BLOCK = 8192
+DEGREE_TILE = 256
 # Success limits and the robustness cases.
 MAX_ROTATION = 15.0
 MAX_TRANSLATION = 0.5
@@ -384,28 +388,77 @@ def row_score(results: DataFrame) -> DataFrame:
     return results.withColumn("score", F.greatest(F.lit(0.0), score))
 
 
-def compatibility(matches: DataFrame, tau: float, block: int = NEAR_BLOCK) -> DataFrame:
+def compatibility(matches: DataFrame, tau: float, block: int = DEGREE_BLOCK) -> DataFrame:
     """Degree of each correspondence: others of the pair that keep distances within tau.
 
-    Correspondences (pt, x, y, z, tx, ty, tz) meet block by block and reduce to
-    counts at once; no edge list is written.
+    Correspondences (pt, x, y, z, tx, ty, tz) are dealt to blocks; every two blocks of a pair meet once, in a task that counts
+    tile by tile for both of them.  No edge list is written.
     """
     columns = [*AXES, *[f"t{a}" for a in AXES]]
     sizes = matches.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
-    marked = matches.join(sizes, "pair_id").withColumn("_b", F.pmod(F.xxhash64("pt"), F.col("_nb")).cast("int"))
-    packed = marked.groupBy("pair_id", "_nb", "_b").agg(F.collect_list(F.struct("pt", *columns)).alias("_m"))
-    left = packed.select("pair_id", "_m", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
-    met = left.join(packed.select("pair_id", "_b", F.col("_m").alias("_o")), ["pair_id", "_b"])
-
-    def length(a, b, prefix: str):
-        return F.sqrt(sum(((a[prefix + c] - b[prefix + c]) ** 2 for c in AXES), F.lit(0.0)))
+    points = matches.select("pair_id", "pt", *[F.col(c).cast("double").alias(c) for c in columns])
+    marked = points.join(sizes, "pair_id").withColumn("_b", F.pmod(F.xxhash64("pt"), F.col("_nb")).cast("int"))
+    dealt = marked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).select(
+        "pair_id", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "pt", *columns
+    )
+    key = ["pair_id", "_i", "_j"]
+    placed = dealt.repartition(*key).sortWithinPartitions(*key, "_b")
+    kind = {c: matches.schema[c].dataType.simpleString() for c in ("pair_id", "pt")}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+        for batch in batches:
+            places = [batch.column(c).to_numpy(zero_copy_only=False) for c in key]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in places], axis=0)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if start == stop:
+                    continue
+                at = tuple(x[start] for x in places)
+                if at != held and parts:
+                    yield _degrees(pa.Table.from_batches(parts), columns, tau)
+                    parts = []
+                held = at
+                parts.append(batch.slice(int(start), int(stop - start)))
+        if parts:
+            yield _degrees(pa.Table.from_batches(parts), columns, tau)
+
+    rows = placed.mapInArrow(work, f"pair_id {kind['pair_id']}, pt {kind['pt']}, degree long")
+    return rows.groupBy("pair_id", "pt").agg(F.sum("degree").alias("degree"))
 
-    def degree(a):
-        fits = F.filter("_o", lambda b: (b["pt"] != a["pt"]) & (F.abs(length(a, b, "") - length(a, b, "t")) <= tau))
-        return F.struct(a["pt"].alias("pt"), F.size(fits).cast("long").alias("degree"))
 
-    rows = met.select("pair_id", F.explode(F.transform("_m", degree)).alias("r")).select("pair_id", "r.*")
-    return rows.groupBy("pair_id", "pt").agg(F.sum("degree").alias("degree"))
+def _degrees(rows: pa.Table, columns: Sequence[str], tau: float) -> pa.RecordBatch:
+    """Of two blocks, or of one with itself: how many correspondences of the other block each one fits."""
+    rows = rows.combine_chunks()
+    i, j = (rows[c][0].as_py() for c in ("_i", "_j"))
+    of = rows["_b"].to_numpy()
+    xyz = np.array([rows[c].to_numpy() for c in columns], dtype=float)
+    degree = np.zeros(len(of), np.int64)
+    # equal points are of one block
+    name = rows["pt"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if i == j else None
+    first, second = np.flatnonzero(of == i), np.flatnonzero(of == j)
+
+    def lengths(a: np.ndarray, b: np.ndarray, axes: range) -> np.ndarray:
+        out = np.zeros((len(a), len(b)))
+        for axis in axes:
+            step = xyz[axis][a][:, None] - xyz[axis][b][None, :]
+            step *= step
+            out += step
+        return np.sqrt(out, out=out)
+
+    for start in range(0, len(first), DEGREE_TILE):
+        a = first[start : start + DEGREE_TILE]
+        for other in range(start if i == j else 0, len(second), DEGREE_TILE):
+            b = second[other : other + DEGREE_TILE]
+            apart = lengths(a, b, range(3))
+            apart -= lengths(a, b, range(3, 6))
+            fits = np.abs(apart, out=apart) <= tau
+            if i == j:
+                fits &= name[a, None] != name[None, b]
+            degree[a] += np.count_nonzero(fits, axis=1)
+            if i != j or other > start:
+                degree[b] += np.count_nonzero(fits, axis=0)
+    names = ["pair_id", "pt", "degree"]
+    return pa.RecordBatch.from_arrays([*[rows[c].combine_chunks() for c in names[:2]], pa.array(degree)], names=names)
 
 
 def ball_query(points: DataFrame, radius: float, n: int, block: int = NEAR_BLOCK) -> DataFrame:
